@@ -16,7 +16,7 @@ ENVELOPE_FIELDS = [
 ]
 ENVELOPE_REQUIRED = [
     "event_id", "device_id", "seq", "ts_utc", "tz_offset_min", "tz_id", "uptime_ms", "type",
-    "source",
+    "source", "schema_v",
 ]
 TZ_OFFSET_RANGE = (-720, 840)
 MAX_BATCH = 1000
