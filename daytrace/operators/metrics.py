@@ -169,3 +169,55 @@ def daily_metrics(plan) -> DataFrame:
         "unlock_count",
         "tz_transition",
     )
+
+
+def collector_health(events: DataFrame, rejected: DataFrame, as_of_us: int, stale_s: int) -> DataFrame:
+    """Per device: last event, last sequence, rejected batches, and whether it went silent."""
+    devices = events.groupBy("user_id", "device_id").agg(
+        F.max("us").alias("last_seen_us"), F.max("seq").alias("last_seq")
+    )
+    silent = as_of_us - F.col("last_seen_us")
+    return devices.join(rejected, ["user_id", "device_id"], "left").fillna(0, ["rejected_batches"]).withColumns(
+        {"revoked": silent > 10 * 86400 * US, "stale": silent > stale_s * US}
+    )
+
+
+def latency_quantiles(events: DataFrame) -> DataFrame:
+    """Event totals and exact sync-latency quantiles; equal latencies are counted first."""
+    per_value = events.groupBy("latency_s").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("synced").alias("synced")
+    )
+    q = lambda p: F.round(F.percentile("latency_s", F.lit(p), F.col("n")), 6)
+    return per_value.agg(
+        F.sum("n").alias("collected"),
+        F.sum("synced").alias("synced"),
+        q(0.5).alias("latency_p50"),
+        q(0.95).alias("latency_p95"),
+    )
+
+
+def classification_health(classified: DataFrame) -> DataFrame:
+    """Unknown share and confidence quantiles per day; equal confidences are counted first."""
+    per_value = classified.groupBy("local_date", "confidence").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(length()).alias("all_us"),
+        F.sum(F.when(F.col("category") == "unknown", length()).otherwise(0)).alias("unknown_us"),
+    )
+    q = lambda p: F.round(F.percentile("confidence", F.lit(p), F.col("n")), 6)
+    return per_value.groupBy("local_date").agg(
+        (F.sum("unknown_us") / F.sum("all_us")).alias("unknown_ratio"),
+        q(0.5).alias("confidence_p50"),
+        q(0.1).alias("confidence_p10"),
+    )
+
+
+def domain_totals(arbitrated: DataFrame, families: list[str]) -> DataFrame:
+    """Time per domain over all browsers, with the share of each family."""
+    return arbitrated.groupBy(*USER_DAY, "app_key").agg(
+        F.sum(length()).alias("total_us"),
+        F.count_distinct("browser_family").alias("families"),
+        *[
+            F.sum(F.when(F.col("browser_family") == f, length()).otherwise(0)).alias(f"{f}_us")
+            for f in families
+        ],
+    )

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from daytrace.plans import core_queries, ingest_queries  # noqa: F401
+from daytrace.plans import core_queries, ingest_queries, summary_queries  # noqa: F401
 from daytrace.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
