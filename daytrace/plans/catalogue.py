@@ -1,6 +1,12 @@
 """All registered queries."""
 
-from daytrace.plans import core_queries, ingest_queries, summary_queries  # noqa: F401
+from daytrace.plans import (  # noqa: F401
+    core_queries,
+    ingest_queries,
+    stream_queries,
+    summary_queries,
+    text_queries,
+)
 from daytrace.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

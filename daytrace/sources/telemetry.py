@@ -55,10 +55,14 @@ def _type() -> F.Column:
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(read(spark, sf_dir, "events"))
+
+
+def view(events: DataFrame) -> DataFrame:
     """One row per event: user, device, platform, seq, us (UTC micros), local_date, type, key."""
     u = F.col("user_id")
     family = F.floor((u % 15) / 5).cast("int")
-    src = read(spark, sf_dir, "events").select(
+    src = events.select(
         "event_id", "ts", "user_id", "event_type", "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
     )
