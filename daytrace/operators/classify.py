@@ -84,10 +84,9 @@ def classify(df: DataFrame, th: Thresholds, followed: Column | None = None) -> D
 
 
 def _work_follows(rows, th: Thresholds) -> list[bool]:
-    apps = rows["app_key"].tolist()
-    work = rows["key_category"].isin(WORK_LIKE).tolist()
-    media = rows["is_media"].tolist()
-    start, end = rows["start_us"].tolist(), rows["end_us"].tolist()
+    apps, media = rows["app_key"], rows["is_media"]
+    work = [c in WORK_LIKE for c in rows["key_category"]]
+    start, end = rows["start_us"], rows["end_us"]
     flags = []
     for i, is_media in enumerate(media):
         if not is_media:
@@ -123,6 +122,7 @@ def followed_by_work(sessions: DataFrame, th: Thresholds) -> DataFrame:
         df.filter("candidate"),
         DEVICE_DAY,
         ["start_us"],
+        ["app_key", "key_category", "is_media", "start_us", "end_us"],
         lambda rows: {"followed": _work_follows(rows, th)},
         "followed boolean",
     )

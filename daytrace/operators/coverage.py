@@ -42,6 +42,7 @@ def signal_states(
         on_since=("last", F.when(on, us).when(dark, none)),
         lit=("last", F.when(on, True).when(dark, False)),
         next_us=("lead", us),
+        prev_us=("before", us),
         **extra,
     ).drop(CHUNK)
     if media_apps is not None:
@@ -77,21 +78,18 @@ def coverage_intervals(states: DataFrame, th: Thresholds, exempt: Column | None
         .when(~F.coalesce(F.col("screen"), F.lit(False)), TRACKED)
         .when(end - start >= 2 * th.poll_s * US, UNOBSERVED)
     )
-    pieces = F.when(fixed.isNotNull(), F.array(piece(start, end, fixed))).otherwise(
-        F.array(piece(start, split, TRACKED), piece(split, end, IDLE))
+    # the first event of a day also stands for the silence before it
+    silence = F.when(F.col("prev_us").isNull(), F.col("win_start")).otherwise(start)
+    pieces = F.array(
+        piece(silence, start, UNOBSERVED),
+        piece(start, F.when(fixed.isNull(), split).otherwise(end), F.coalesce(fixed, F.lit(TRACKED))),
+        piece(F.when(fixed.isNull(), split).otherwise(end), end, IDLE),
     )
-    segments = df.select(*DEVICE_DAY, F.explode(pieces).alias("s")).select(*DEVICE_DAY, "s.*")
-    before_first = (
-        df.groupBy(*DEVICE_DAY, "win_start")
-        .agg(F.min("us").alias("end_us"))
-        .select(
-            *DEVICE_DAY,
-            F.col("win_start").alias("start_us"),
-            "end_us",
-            F.lit(UNOBSERVED).alias("state"),
-        )
+    segments = (
+        df.select(*DEVICE_DAY, F.explode(pieces).alias("s"))
+        .select(*DEVICE_DAY, "s.*")
+        .filter("end_us > start_us")
     )
-    segments = segments.unionByName(before_first).filter("end_us > start_us")
     return coalesce_intervals(segments, DEVICE_DAY, th)
 
 

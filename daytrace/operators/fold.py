@@ -14,10 +14,11 @@ def fold_groups(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    rule: Callable[[pd.DataFrame], dict[str, list]],
+    uses: list[str],
+    rule: Callable[[dict[str, list]], dict[str, list]],
     new_columns: str,
 ) -> DataFrame:
-    """Add columns computed by ``rule`` from all rows of a group in order.
+    """Add columns computed by ``rule`` from the columns ``uses`` of a group, in order.
 
     Rows are placed by ``keys`` and sorted by Spark; a task walks its sorted batches and holds
     one group at a time.  Groups must be bounded (callers cut them at exact boundaries first).
@@ -32,8 +33,9 @@ def fold_groups(
             starts = np.flatnonzero(change)
             ends = np.append(starts[1:], len(block))
             out: dict[str, list] = {}
+            columns = {c: block[c].tolist() for c in uses}
             for a, b in zip(starts, ends):
-                for name, values in rule(block.iloc[a:b]).items():
+                for name, values in rule({c: v[a:b] for c, v in columns.items()}).items():
                     out.setdefault(name, []).extend(values)
             return block.assign(**out)[names]
 

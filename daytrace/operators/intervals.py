@@ -111,6 +111,7 @@ def cluster_cross_device(classified: DataFrame, th: Thresholds) -> DataFrame:
         df.filter("mixed"),
         [*keys, "island"],
         ["start_us", "device_id"],
+        ["device_id", "start_us", "end_us"],
         lambda rows: {"cluster": _assign(rows, gap)},
         "cluster long",
     )

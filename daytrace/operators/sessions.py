@@ -49,10 +49,10 @@ def _opens(events: DataFrame, rule: SessionRule, th: Thresholds, hard: Column) -
     interactions is never gathered in one task.
     """
     opening = (F.col("type") == rule.opens) & F.col("key").isNotNull()
-    ev = events.filter(F.col("type").isin(rule.types)).select(
-        *DEVICE_DAY, "us", "seq", "type", "key"
+    ev = chunked(
+        events.select(*DEVICE_DAY, "us", "seq", "type", "key"), DEVICE_DAY, "us", th.chunk_s * US
     )
-    ev = chunked(ev, DEVICE_DAY, "us", th.chunk_s * US)
+    ev = _with_last(ev).filter(F.col("type").isin(rule.types))
     ev = scan(
         ev,
         DEVICE_DAY,
@@ -70,7 +70,7 @@ def _opens(events: DataFrame, rule: SessionRule, th: Thresholds, hard: Column) -
         ),
     ).filter("o is not null").select("*", "o.*").drop("o")
 
-    group = [*DEVICE_DAY, "app_key", "o_us", "o_seq"]
+    group = [*DEVICE_DAY, "last_us", "app_key", "o_us", "o_seq"]
     in_chunk = Window.partitionBy(*DEVICE_DAY, *chunk_key(ev), "o_us", "o_seq").orderBy("us", "seq")
     ev = ev.withColumn("soft", (F.col("type") == rule.closes_same) & F.col("key").eqNullSafe(F.col("app_key")))
     ev = ev.withColumn("hard", hard)
@@ -124,8 +124,13 @@ def _chained(opens: DataFrame, th: Thresholds, continues: Column) -> DataFrame:
     )
 
 
-def _last_event(events: DataFrame) -> DataFrame:
-    return events.groupBy(*DEVICE_DAY).agg(F.max("us").alias("last_us"))
+def _with_last(events: DataFrame) -> DataFrame:
+    """Add the device-day's last event of any type.  Whole device-days take it from the window
+    they are in anyway; chunked ones from a map-side aggregate."""
+    if not chunk_key(events):
+        return events.withColumn("last_us", F.max("us").over(Window.partitionBy(*DEVICE_DAY)))
+    last = events.groupBy(*DEVICE_DAY).agg(F.max("us").alias("last_us"))
+    return events.join(last, DEVICE_DAY)
 
 
 def _sessions(events: DataFrame, rule: SessionRule, th: Thresholds) -> DataFrame:
@@ -134,13 +139,12 @@ def _sessions(events: DataFrame, rule: SessionRule, th: Thresholds) -> DataFrame
     continues = (F.col("p.app_key") == F.col("app_key")) & F.col("p.closer_us").isNull()
     raw = (
         _chained(opens, th, continues)
-        .groupBy(*DEVICE_DAY, "s", "app_key")
+        .groupBy(*DEVICE_DAY, "last_us", "s", "app_key")
         .agg(
             F.max("closer_us").alias("closer_us"),
             F.max("next_us").alias("next_us"),
             F.sum("interactions").alias("interactions"),
         )
-        .join(_last_event(events), DEVICE_DAY)
         .select(
             *DEVICE_DAY,
             "app_key",

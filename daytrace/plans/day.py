@@ -60,7 +60,7 @@ class DayPlan:
     # sessions -----------------------------------------------------------------------
     @cached_property
     def app_sessions(self) -> DataFrame:
-        return se.app_sessions(self.phone_events, self.th)
+        return stage(se.app_sessions(self.phone_events, self.th))
 
     @cached_property
     def browser_sessions(self) -> DataFrame:
