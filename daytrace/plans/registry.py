@@ -19,10 +19,10 @@ class Context:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         from daytrace.sources import telemetry as tm
+        from daytrace.sources.session import tune
         from daytrace.sources.tables import read
 
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir = tune(spark), sf_dir
         self.table = lambda name: read(spark, sf_dir, name)
         self.plan = tm.sample_plan(spark, sf_dir)
 

@@ -216,7 +216,6 @@ def sample_plan(spark: SparkSession, sf_dir: str):
     """The day pipeline over the sample telemetry."""
     from daytrace.plans.day import DayPlan
 
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     ev = telemetry(spark, sf_dir).withColumns(
         {"tz": F.lit(TZ), "day_start_hour": F.lit(DAY_START)}
     )
