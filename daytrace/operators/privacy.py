@@ -26,14 +26,19 @@ def entropy(token: Column) -> Column:
 def violations(text: Column) -> Column:
     """Classes of leaks a string shows, in fixed order; empty when clean."""
     # Violation classes.
+    # Every pattern is searched behind a cheap necessary condition, and tokens only at the
+    # start of a run, so that long texts are read about once.
     unicode = "(?U)"
-    tokens = F.regexp_extract_all(text, F.lit(f"({catalog.TOKEN})"), F.lit(1))
+    run = catalog.TOKEN.removesuffix("{32,}")
+    tokens = F.regexp_extract_all(text, F.lit(f"((?<!{run}){catalog.TOKEN})"), F.lit(1))
+    dotted = text.rlike(f"{unicode}(?i){catalog.DOMAIN[catalog.DOMAIN.index('+') + 1:]}")
     noisy = F.exists(tokens, lambda t: F.round(entropy(t), 9) > catalog.MAX_ENTROPY)
     checks = [
         ("too_long", F.length(text) > catalog.MAX_FREE_TEXT),
         (
             "url",
-            text.rlike(catalog.URL_SCHEME) | text.rlike(f"{unicode}(?i){catalog.DOMAIN}"),
+            (F.contains(text, F.lit("://")) & text.rlike(catalog.URL_SCHEME))
+            | (dotted & text.rlike(f"{unicode}(?i){catalog.DOMAIN}")),
         ),
         ("email_shaped", F.contains(text, F.lit("@"))),
         ("long_digit_run", text.rlike(f"{unicode}{catalog.LONG_DIGITS}")),
