@@ -125,12 +125,11 @@ def _chained(opens: DataFrame, th: Thresholds, continues: Column) -> DataFrame:
 
 
 def _with_last(events: DataFrame) -> DataFrame:
-    """Add the device-day's last event of any type.  Whole device-days take it from the window
-    they are in anyway; chunked ones from a map-side aggregate."""
-    if not chunk_key(events):
-        return events.withColumn("last_us", F.max("us").over(Window.partitionBy(*DEVICE_DAY)))
-    last = events.groupBy(*DEVICE_DAY).agg(F.max("us").alias("last_us"))
-    return events.join(last, DEVICE_DAY)
+    """Add the device-day's last event of any type, from the window whole device-days are in
+    anyway.  Chunked ones get it later, joined to their few sessions."""
+    if chunk_key(events):
+        return events.withColumn("last_us", F.lit(None).cast("long"))
+    return events.withColumn("last_us", F.max("us").over(Window.partitionBy(*DEVICE_DAY)))
 
 
 def _sessions(events: DataFrame, rule: SessionRule, th: Thresholds) -> DataFrame:
@@ -145,14 +144,17 @@ def _sessions(events: DataFrame, rule: SessionRule, th: Thresholds) -> DataFrame
             F.max("next_us").alias("next_us"),
             F.sum("interactions").alias("interactions"),
         )
-        .select(
-            *DEVICE_DAY,
-            "app_key",
-            F.col("s.o_us").alias("start_us"),
-            F.coalesce("closer_us", "next_us", "last_us").alias("found_end"),
-            (F.col("closer_us").isNull() & F.col("next_us").isNull()).alias("open_end"),
-            "interactions",
-        )
+    )
+    if th.chunk_s:
+        last = events.groupBy(*DEVICE_DAY).agg(F.max("us").alias("last_us"))
+        raw = raw.drop("last_us").join(last, DEVICE_DAY)
+    raw = raw.select(
+        *DEVICE_DAY,
+        "app_key",
+        F.col("s.o_us").alias("start_us"),
+        F.coalesce("closer_us", "next_us", "last_us").alias("found_end"),
+        (F.col("closer_us").isNull() & F.col("next_us").isNull()).alias("open_end"),
+        "interactions",
     )
     cap = F.col("start_us") + th.max_session_s * US
     raw = raw.select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,19 +30,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Materialise a result that several later steps read, on reliable shared storage, so
-    that it is computed once and survives the loss of executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a result that several later steps read to the shared folder and read it back: it
+    is computed once, survives the loss of executors, and is read column by column."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def overwrite_days(df: DataFrame, path: str, day: str = "local_date") -> None:
-    """Replace whole user-day partitions in a derived table; other days stay as they are.
-    Repeating the write gives the same table."""
+def create_table(spark: SparkSession, path: str, schema: str, partition: str) -> None:
+    """Make sure an (empty) partitioned table exists."""
+    spark.createDataFrame([], schema).write.mode("ignore").partitionBy(partition).parquet(path)
+
+
+def overwrite_partitions(df: DataFrame, path: str, partition: str) -> None:
+    """Replace whole partitions of a table; the others stay as they are.  Repeating the write
+    gives the same table.  Rows are rebalanced by partition, which splits a partition that
+    holds much of the data over several writers."""
     (
-        df.repartition(day)
+        df.hint("rebalance", partition)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(day)
+        .partitionBy(partition)
         .parquet(path)
     )
+
+
+def overwrite_days(df: DataFrame, path: str) -> None:
+    """Replace whole days of a derived table."""
+    overwrite_partitions(df, path, "local_date")

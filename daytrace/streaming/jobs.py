@@ -10,7 +10,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from daytrace.config import USER_DAY
 from daytrace.operators import ingest as ing
-from daytrace.sources.tables import overwrite_days
+from daytrace.sources.tables import create_table, overwrite_days, overwrite_partitions, stage
 
 EVENT_TABLE = "event_id string, device_id string, batch_id string, us bigint, type string, day date, epoch string"
 
@@ -39,9 +39,11 @@ def ingest_stream(lines: DataFrame, base: str, name: str = "ingest") -> Streamin
     each has its own checkpoint and its own epochs.
     """
 
+    create_table(lines.sparkSession, f"{base}/events", EVENT_TABLE, "epoch")
+
     def take(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        parsed = ing.parse_envelope(batch)
+        parsed = ing.parse_envelope(batch).persist()
         verdicts = ing.batch_verdicts(parsed)
         good = parsed.join(verdicts.filter("accepted").select("batch_id"), "batch_id", "left_semi")
         rows = good.select(
@@ -53,14 +55,16 @@ def ingest_stream(lines: DataFrame, base: str, name: str = "ingest") -> Streamin
             F.to_date(F.timestamp_millis("e.ts_utc")).alias("day"),
         ).dropDuplicates(["event_id", "us"])
         mine = f"{name}-{epoch}"
-        known = _read(spark, f"{base}/events", EVENT_TABLE).filter(F.col("epoch") != mine)
+        known = spark.read.schema(EVENT_TABLE).parquet(f"{base}/events")
+        known = known.filter(F.col("epoch") != mine)
         days = rows.select("day").distinct()
         # only the stored days this batch touches are compared
         known = known.join(days, "day", "left_semi").select("event_id", "us")
         new = rows.join(known, ["event_id", "us"], "left_anti").withColumn("epoch", F.lit(mine))
-        _write(new, f"{base}/events")
+        overwrite_partitions(new, f"{base}/events", "epoch")
         rejected = verdicts.filter("not accepted").withColumn("epoch", F.lit(mine))
-        _write(rejected, f"{base}/quarantine")
+        overwrite_partitions(rejected, f"{base}/quarantine", "epoch")
+        parsed.unpersist()
 
     return (
         lines.writeStream.foreachBatch(take)
@@ -70,24 +74,6 @@ def ingest_stream(lines: DataFrame, base: str, name: str = "ingest") -> Streamin
     )
 
 
-def _write(df: DataFrame, path: str) -> None:
-    (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("epoch")
-        .parquet(path)
-    )
-
-
-def _read(spark, path: str, schema: str) -> DataFrame:
-    """The table so far; empty before the first write."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
-
-
 def recompute_dirty(
     events: DataFrame, dirty: DataFrame, build: Callable[[DataFrame], DataFrame], path: str
 ) -> None:
@@ -102,6 +88,4 @@ def recompute_dirty(
     kept = current.join(days, "local_date", "left_semi").join(
         dirty.select(*USER_DAY), USER_DAY, "left_anti"
     )
-    from daytrace.sources.tables import stage
-
     overwrite_days(stage(kept.unionByName(rebuilt)), path)
