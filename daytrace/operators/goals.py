@@ -8,7 +8,6 @@ from pyspark.sql import Window
 
 from daytrace.catalog import WORK
 from daytrace.config import US
-from daytrace.functions import timecols as tc
 
 OUTSIDE_HOURS = 0.85  # fixed value: weight of time outside working hours for work goals
 WINDOWS = (1, 7, 30, 90)  # fixed values: trailing windows in days

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from daytrace.config import DEVICE_DAY, US, USER_DAY
-from daytrace.operators import classify as cl
 from daytrace.operators import coverage as cov
 from daytrace.operators import focus as fo
 from daytrace.operators import intervals as iv

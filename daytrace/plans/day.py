@@ -9,9 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daytrace.catalog import WORK
-from daytrace.config import DEVICE_DAY, US, USER_DAY, Thresholds
-from daytrace.functions import timecols as tc
+from daytrace.config import DEVICE_DAY, USER_DAY, Thresholds
 from daytrace.operators import classify as cl
 from daytrace.operators import coverage as cov
 from daytrace.operators import focus as fo

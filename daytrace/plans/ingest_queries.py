@@ -10,7 +10,6 @@ from daytrace.functions import timecols as tc
 from daytrace.operators import classify as cl
 from daytrace.operators import coverage as cov
 from daytrace.operators import ingest as ing
-from daytrace.operators.scan import CHUNK
 from daytrace.plans.oracle import part
 from daytrace.plans.registry import query
 from daytrace.sources import tables
