@@ -24,6 +24,7 @@ class Thresholds:
     learned_min_samples: int = 5
     followed_window_s: int = 15 * 60
     followed_min_s: int = 30 * 60
+    followed_next: int = 5
     followed_confidence: float = 0.68
     half_life_days: float = 60.0
     learned_floor: float = 0.75
@@ -67,10 +68,9 @@ class Thresholds:
     clock_drift_s: int = 120
     late_s: int = 7 * 86400
     stale_s: int = 6 * 3600
-    # a group with more rows than this is split into time chunks of ``chunk_s`` before any
-    # ordered scan, so that one very active device-day is spread over many tasks
-    rows_per_task: int = 2_000_000
-    chunk_s: int = 5 * 60
+    # width of the time chunks of every ordered scan: a task of a scan holds the events of one
+    # device in one chunk
+    chunk_s: int = 3600
 
     def scaled(self, factor: int) -> "Thresholds":
         """The same rules on a clock ``factor`` times slower (used for sparse streams)."""

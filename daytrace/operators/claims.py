@@ -31,7 +31,7 @@ def numbers_grounded(text: Column, context: Column) -> Column:
 
 
 def has_rejected_term(text: Column) -> Column:
-    return text.rlike(r"(?i)\b(" + "|".join(catalog.REJECTED_TERMS) + r")\b")
+    return text.rlike(r"(?iU)\b(" + "|".join(catalog.REJECTED_TERMS) + r")\b")
 
 
 def path_resolves(doc: Column, path: Column) -> Column:

@@ -16,9 +16,9 @@ UNKNOWN = "unknown"
 def with_priors(
     sessions: DataFrame, seeds: DataFrame, rules: DataFrame | None, learned: DataFrame | None
 ) -> DataFrame:
-    """Attach user rule, learned prior and seed prior.  Seeds are a fixed list and broadcast;
+    """Attach user rule, learned prior and seed prior.  Small sides are left to the optimiser;
     rules and learned priors grow with the users and are left to the optimiser."""
-    df = sessions.join(F.broadcast(seeds), "app_key", "left")
+    df = sessions.join(seeds, "app_key", "left")
     if rules is not None:
         df = df.join(rules, ["user_id", "app_key"], "left")
     else:
@@ -92,7 +92,7 @@ def _work_follows(rows, th: Thresholds) -> list[bool]:
         if not is_media:
             flags.append(False)
             continue
-        near = {apps[j] for j in range(i + 1, min(i + 6, len(apps))) if work[j]}
+        near = {apps[j] for j in range(i + 1, min(i + 1 + th.followed_next, len(apps))) if work[j]}
         deadline, total, j = end[i] + th.followed_window_s * US, 0, i + 1
         while j < len(apps) and start[j] < deadline and apps[j] not in near:
             j += 1
@@ -105,7 +105,8 @@ def _work_follows(rows, th: Thresholds) -> list[bool]:
 
 
 def followed_by_work(sessions: DataFrame, th: Thresholds) -> DataFrame:
-    """Add ``followed``: media whose next work run starts soon and is long enough.
+    """Add ``followed``: media whose next work run starts soon and is long enough.  The run's apps are
+    the work apps among the next ``followed_next`` sessions.
 
     Needs ``key_category`` (category from rule, learned prior or seed) and ``is_media``.  Only
     device-days with both media and work reach the ordered pass; a device-day holds at most

@@ -38,17 +38,18 @@ def contributions(activities: DataFrame, goals: DataFrame, mappings: DataFrame)
     """Aligned time and its uncertainty per user, goal and day, in whole microseconds.
 
     ``activities`` needs ``in_hours``.  Goals with a work category weigh time outside working
-    hours less.
+    hours less.  ``mappings`` are per user if they have a user_id, else for all users.
     """
-    targets = goals.select("user_id", "goal_id").join(mappings, "goal_id")
-    work_goal = mappings.groupBy("goal_id").agg(
+    on = [c for c in ("user_id", "goal_id") if c in mappings.columns]
+    targets = goals.select("user_id", "goal_id").join(mappings, on)
+    work_goal = targets.groupBy("user_id", "goal_id").agg(
         F.max(F.coalesce(F.col("category").isin(["work", *WORK]), F.lit(False))).alias("is_work")
     )
     facts = activities.select(
         "user_id", "activity_id", "local_date", "duration_us", "confidence", "in_hours"
     )
     df = matched_weights(activities, targets).join(facts, ["user_id", "activity_id"]).join(
-        work_goal, "goal_id"
+        work_goal, ["user_id", "goal_id"]
     )
     factor = F.when(F.col("is_work") & ~F.col("in_hours"), OUTSIDE_HOURS).otherwise(F.lit(1.0))
     part = F.col("duration_us") * F.col("weight") * F.col("confidence") * factor

@@ -78,17 +78,18 @@ def batch_verdicts(parsed: DataFrame) -> DataFrame:
 
 
 def first_deliveries(deliveries: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Mark each delivery as replay or first; batches in the ledger only ever replay."""
-    first = deliveries.groupBy("batch_id").agg(F.min("arrival").alias("first_arrival"))
+    """Mark each delivery as replay or first; batches in the ledger only ever replay.  Of deliveries
+    that arrive together, the one of the lowest attempt is the first."""
+    first = deliveries.groupBy("batch_id").agg(F.min(F.struct("arrival", "attempt")).alias("first"))
     known = ledger.select("batch_id", F.lit(True).alias("known"))
     return (
         deliveries.join(first, "batch_id")
         .join(known, "batch_id", "left")
         .withColumn(
             "is_replay",
-            F.coalesce("known", F.lit(False)) | (F.col("arrival") > F.col("first_arrival")),
+            F.coalesce("known", F.lit(False)) | (F.struct("arrival", "attempt") > F.col("first")),
         )
-        .drop("known", "first_arrival")
+        .drop("known", "first")
     )
 
 
@@ -161,9 +162,8 @@ def dirty_days(events: DataFrame) -> DataFrame:
 
 
 def map_types(raw: DataFrame, codes: DataFrame) -> DataFrame:
-    """Source codes to registry types; codes without a type are dropped.  ``codes`` is a fixed
-    list and broadcast."""
-    return raw.join(F.broadcast(codes), "code")
+    """Source codes to registry types; codes without a type are dropped."""
+    return raw.join(codes, "code")
 
 
 def shape_payload(type_: Column, package: Column) -> Column:
@@ -201,7 +201,7 @@ def queue_counts(queue: DataFrame) -> DataFrame:
 def clock_suspect(events: DataFrame, th: Thresholds, width: int = 1_000_000) -> DataFrame:
     """Events whose wall clock moved differently from uptime since the device's last event."""
     keys = ["user_id", "device_id"]
-    df = chunked(events, keys, "seq", width if th.chunk_s else 0)
+    df = chunked(events, keys, "seq", width)
     df = scan(df, keys, ["seq"], p=("before", F.struct("us", "uptime_ms")))
     wall = (F.col("us") - F.col("p.us")) / 1e6
     up = (F.col("uptime_ms") - F.col("p.uptime_ms")) / 1e3

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from daytrace.catalog import WORK
@@ -171,29 +171,68 @@ def daily_metrics(plan) -> DataFrame:
     )
 
 
-def collector_health(events: DataFrame, rejected: DataFrame, as_of_us: int, stale_s: int) -> DataFrame:
-    """Per device: last event, last sequence, rejected batches, and whether it went silent."""
-    devices = events.groupBy("user_id", "device_id").agg(
-        F.max("us").alias("last_seen_us"), F.max("seq").alias("last_seq")
-    )
+def collector_health(
+    events: DataFrame, rejected: DataFrame, devices: DataFrame, as_of_us: int, stale_s: int
+) -> DataFrame:
+    """Per device: last event, last sequence, rejected batches, and whether it went silent.  A device is
+    revoked if ``devices`` (user_id, device_id, revoked_us) has a time for it."""
+    key = ["user_id", "device_id"]
+    seen = events.groupBy(*key).agg(F.max("us").alias("last_seen_us"), F.max("seq").alias("last_seq"))
     silent = as_of_us - F.col("last_seen_us")
-    return devices.join(rejected, ["user_id", "device_id"], "left").fillna(0, ["rejected_batches"]).withColumns(
-        {"revoked": silent > 10 * 86400 * US, "stale": silent > stale_s * US}
+    return (
+        seen.join(rejected, key, "left")
+        .fillna(0, ["rejected_batches"])
+        .join(devices.select(*key, "revoked_us"), key, "left")
+        .withColumns({"revoked": F.col("revoked_us").isNotNull(), "stale": silent > stale_s * US})
+        .drop("revoked_us")
     )
 
 
+QUANTILE_BUCKETS = 4096
+
+
+def exact_quantiles(per_value: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles of ``value`` per key, each row standing for ``n`` of them.
+
+    Values are counted in equal-width buckets between the least and the largest of their key, and
+    only the buckets that hold a wanted rank are sorted, so no task sees all values of a key.
+    """
+    v = F.col(value).cast("double")
+    span = per_value.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.sum("n").alias("_all"))
+    place = F.coalesce((v - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)), F.lit(0.0))
+    bucket = F.least(F.floor(place * QUANTILE_BUCKETS), F.lit(QUANTILE_BUCKETS - 1)).cast("int")
+    rows = per_value.join(span, keys).select(*keys, "_all", bucket.alias("_b"), v.alias("_v"), "n")
+    counts = rows.groupBy(*keys, "_all", "_b").agg(F.sum("n").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    at = lambda p: F.lit(p) * (F.col("_all") - 1)
+    ranks = F.array(*[f(at(p)).cast("long") for p in quantiles.values() for f in (F.floor, F.ceil)])
+    hit = F.exists(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")))
+    rows = rows.join(counts.where(hit).drop("_all", "_n"), [*keys, "_b"])
+    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_end", F.sum("n").over(inside) + F.col("_before"))
+
+    def ranked(rank):
+        return F.max(F.when((rank < F.col("_end")) & (rank >= F.col("_end") - F.col("n")), F.col("_v")))
+
+    def quantile(p: float):
+        low, high = F.floor(at(p)), F.ceil(at(p))
+        return F.round(ranked(low) + (ranked(high) - ranked(low)) * F.max(at(p) - low), 6)
+
+    return rows.groupBy(*keys).agg(*[quantile(p).alias(name) for name, p in quantiles.items()])
+
+
 def latency_quantiles(events: DataFrame) -> DataFrame:
     """Event totals and exact sync-latency quantiles; equal latencies are counted first."""
     per_value = events.groupBy("latency_s").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("synced").alias("synced")
     )
-    q = lambda p: F.round(F.percentile("latency_s", F.lit(p), F.col("n")), 6)
-    return per_value.agg(
-        F.sum("n").alias("collected"),
-        F.sum("synced").alias("synced"),
-        q(0.5).alias("latency_p50"),
-        q(0.95).alias("latency_p95"),
+    per_value = per_value.withColumn("_one", F.lit(1))
+    totals = per_value.groupBy("_one").agg(F.sum("n").alias("collected"), F.sum("synced").alias("synced"))
+    found = exact_quantiles(
+        per_value.where("latency_s is not null"), ["_one"], "latency_s", {"latency_p50": 0.5, "latency_p95": 0.95}
     )
+    return totals.join(found, "_one", "left").drop("_one")
 
 
 def classification_health(classified: DataFrame) -> DataFrame:
@@ -203,12 +242,14 @@ def classification_health(classified: DataFrame) -> DataFrame:
         F.sum(length()).alias("all_us"),
         F.sum(F.when(F.col("category") == "unknown", length()).otherwise(0)).alias("unknown_us"),
     )
-    q = lambda p: F.round(F.percentile("confidence", F.lit(p), F.col("n")), 6)
-    return per_value.groupBy("local_date").agg(
-        (F.sum("unknown_us") / F.sum("all_us")).alias("unknown_ratio"),
-        q(0.5).alias("confidence_p50"),
-        q(0.1).alias("confidence_p10"),
+    share = per_value.groupBy("local_date").agg((F.sum("unknown_us") / F.sum("all_us")).alias("unknown_ratio"))
+    found = exact_quantiles(
+        per_value.where("confidence is not null"),
+        ["local_date"],
+        "confidence",
+        {"confidence_p50": 0.5, "confidence_p10": 0.1},
     )
+    return share.join(found, "local_date", "left")
 
 
 def domain_totals(arbitrated: DataFrame, families: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,7 +69,8 @@ def walk_payloads(df: DataFrame, payload: str, allowed: list[str]) -> DataFrame:
     """Add what a gate needs to know of a nested JSON payload: ``disallowed`` key paths,
     string ``leaves`` with their paths, ``key_count`` and ``canonical`` JSON text.
 
-    Payloads have no common schema, so each is walked on its own, batch by batch.
+    Payloads have no common schema, so each is walked on its own, batch by batch.  A payload that
+    is null, not JSON or nested too deeply has a null ``key_count`` and its text as ``canonical``.
     """
     allow = frozenset(allowed)
 
@@ -91,11 +93,18 @@ def walk_payloads(df: DataFrame, payload: str, allowed: list[str]) -> DataFrame:
         for batch in batches:
             out = {"disallowed": [], "leaves": [], "key_count": [], "canonical": []}
             for text in batch[payload]:
-                node, bad, leaves = json.loads(text), [], []
-                out["key_count"].append(walk(node, "", bad, leaves))
+                bad, leaves = [], []
+                try:
+                    node = json.loads(text)
+                    count = walk(node, "", bad, leaves)
+                    canonical = json.dumps(node, sort_keys=True, separators=(",", ":"))
+                except (TypeError, ValueError, RecursionError):
+                    count, canonical, bad, leaves = None, text, [], []
+                out["key_count"].append(count)
                 out["disallowed"].append(sorted(bad))
                 out["leaves"].append(leaves)
-                out["canonical"].append(json.dumps(node, sort_keys=True, separators=(",", ":")))
+                out["canonical"].append(canonical)
+            out["key_count"] = pd.array(out["key_count"], dtype="Int64")
             yield batch.assign(**out)
 
     extra = "disallowed array<string>, leaves array<struct<path:string,value:string>>, key_count long, canonical string"
@@ -104,7 +113,8 @@ def walk_payloads(df: DataFrame, payload: str, allowed: list[str]) -> DataFrame:
 
 
 def gate(walked: DataFrame) -> DataFrame:
-    """Outcome, rejected paths and digest of every payload: one audit row each."""
+    """Outcome, rejected paths and digest of every payload: one audit row each.  Payloads that could
+    not be read are ``bad_json``."""
     leaking = F.transform(
         F.filter("leaves", lambda x: F.size(violations(x["value"])) > 0), lambda x: x["path"]
     )
@@ -112,7 +122,10 @@ def gate(walked: DataFrame) -> DataFrame:
     return walked.withColumn("rejected_fields", rejected).select(
         *[c for c in walked.columns if c not in ("disallowed", "leaves", "canonical")],
         "rejected_fields",
-        F.when(F.size("rejected_fields") > 0, "rejected").otherwise("allowed").alias("outcome"),
+        F.when(F.col("key_count").isNull(), "bad_json")
+        .when(F.size("rejected_fields") > 0, "rejected")
+        .otherwise("allowed")
+        .alias("outcome"),
         F.sha2("canonical", 256).alias("payload_sha256"),
     )
 
@@ -121,8 +134,7 @@ def registrable_domain(pages: DataFrame, url: str, suffixes: DataFrame) -> DataF
     """Add ``domain``: the registrable part of a URL's host, null for addresses without one.
 
     Hosts are made distinct first, so that a host holding many pages is looked up once.
-    ``suffixes`` (one column ``suffix``) is a fixed list and broadcast; the longest matching
-    suffix wins and an unlisted top label counts as a suffix.
+    ``suffixes`` has one column ``suffix``; the longest matching suffix wins and an unlisted top label counts as a suffix.
     """
     df = pages.withColumn("host", F.lower(F.try_parse_url(F.col(url), F.lit("HOST"))))
     hosts = df.select("host").distinct().filter(
@@ -136,7 +148,7 @@ def registrable_domain(pages: DataFrame, url: str, suffixes: DataFrame) -> DataF
         F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), ".")
     )
     ranked = hosts.select("host", n.alias("n"), F.posexplode(tails).alias("at", "suffix"))
-    known = ranked.join(F.broadcast(suffixes.distinct()), "suffix")
+    known = ranked.join(suffixes.distinct(), "suffix")
     best = known.groupBy("host").agg(F.min("at").alias("at"))
     found = hosts.join(best, "host", "left").select(
         "host", F.coalesce("at", n - 1).alias("at"), labels.alias("labels")

@@ -1,11 +1,10 @@
 """Ordered scans over groups of any size.
 
-A window over (device, day) puts the whole device-day in one task.  That is the best plan as
-long as the largest group fits a task, which ``needs_chunks`` checks.  Beyond that size every
-group is cut into time chunks: the window runs inside a chunk, one small row per chunk carries
-what the next (or earlier) chunks need, and the two are joined.  The chunk rows of one group
-are bounded by day length / chunk width, however many events it holds.  Both ways give the
-same rows.
+A window over a device's history or day would put all of it in one task.  Every group is
+therefore cut into time chunks of a fixed width: the window runs inside a chunk, one small row
+per chunk carries what the next (or earlier) chunks need, and the two are joined.  The chunk
+rows of one group are bounded by its time span / chunk width, however many events it holds.
+There is no other path; the width does not change the rows.
 """
 
 from __future__ import annotations
@@ -17,25 +16,12 @@ from pyspark.sql import Window
 CHUNK = "chunk_id"
 
 
-def needs_chunks(df: DataFrame, keys: list[str], limit: int) -> bool:
-    """Whether any group holds more rows than one task should take.  Counts are summed map-side
-    and only the verdict reaches the driver."""
-    return not df.groupBy(*keys).count().filter(F.col("count") > limit).isEmpty()
-
-
 def chunked(df: DataFrame, keys: list[str], us: str, width_us: int) -> DataFrame:
-    """Add the chunk id and place rows by (keys, chunk); later scans reuse this exchange.
-    A width of 0 leaves groups whole."""
-    if width_us == 0:
-        return df
+    """Add the chunk id and place rows by (keys, chunk); later scans reuse this exchange."""
     df = df.withColumn(CHUNK, F.floor(F.col(us) / F.lit(width_us)).cast("long"))
     return df.repartition(*keys, CHUNK)
 
 
-def chunk_key(df: DataFrame) -> list[str]:
-    return [CHUNK] if CHUNK in df.columns else []
-
-
 def scan(
     df: DataFrame, keys: list[str], order: list[str], **cols: tuple[str, Column]
 ) -> DataFrame:
@@ -45,8 +31,7 @@ def scan(
     ``after`` = first non-null value of later rows, ``lead`` = next row's value (never null in
     the data), ``sum`` = running sum, ``max_before`` = largest value of earlier rows.
     """
-    part = [*keys, *chunk_key(df)]
-    split = CHUNK in part
+    part = [*keys, CHUNK]
     up = Window.partitionBy(*part).orderBy(*order)
     down = Window.partitionBy(*part).orderBy(*[F.col(c).desc() for c in order])
     to_row = up.rowsBetween(Window.unboundedPreceding, 0)
@@ -87,9 +72,6 @@ def scan(
         edges.append(edge.alias(f"_e_{name}"))
         carried.append(carry(F.col(f"_e_{name}")).alias(f"_c_{name}"))
 
-    if not split:
-        whole = {n: F.col(f"_l_{n}") for n in cols}
-        return df.withColumns(local).select(*df.columns, *[c.alias(n) for n, c in whole.items()])
     carry_rows = df.groupBy(*part).agg(*edges).select(*part, *carried)
     return (
         df.withColumns(local)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from daytrace.config import DEVICE_DAY, US, Thresholds
-from daytrace.operators.scan import CHUNK, chunk_key, chunked, scan
+from daytrace.operators.scan import CHUNK, chunked, scan
 
 
 @dataclass(frozen=True)
@@ -52,7 +52,7 @@ def _opens(events: DataFrame, rule: SessionRule, th: Thresholds, hard: Column) -
     ev = chunked(
         events.select(*DEVICE_DAY, "us", "seq", "type", "key"), DEVICE_DAY, "us", th.chunk_s * US
     )
-    ev = _with_last(ev).filter(F.col("type").isin(rule.types))
+    ev = ev.filter(F.col("type").isin(rule.types))
     ev = scan(
         ev,
         DEVICE_DAY,
@@ -70,8 +70,8 @@ def _opens(events: DataFrame, rule: SessionRule, th: Thresholds, hard: Column) -
         ),
     ).filter("o is not null").select("*", "o.*").drop("o")
 
-    group = [*DEVICE_DAY, "last_us", "app_key", "o_us", "o_seq"]
-    in_chunk = Window.partitionBy(*DEVICE_DAY, *chunk_key(ev), "o_us", "o_seq").orderBy("us", "seq")
+    group = [*DEVICE_DAY, "app_key", "o_us", "o_seq"]
+    in_chunk = Window.partitionBy(*DEVICE_DAY, CHUNK, "o_us", "o_seq").orderBy("us", "seq")
     ev = ev.withColumn("soft", (F.col("type") == rule.closes_same) & F.col("key").eqNullSafe(F.col("app_key")))
     ev = ev.withColumn("hard", hard)
     ev = ev.withColumn(
@@ -82,13 +82,11 @@ def _opens(events: DataFrame, rule: SessionRule, th: Thresholds, hard: Column) -
         ),
     )
     counted = F.col("live") & (F.col("type") == F.lit(rule.interaction))
-    per_chunk = ev.groupBy(*group, *chunk_key(ev)).agg(
+    per_chunk = ev.groupBy(*group, CHUNK).agg(
         F.min(F.when(F.col("hard"), F.col("us"))).alias("closer_us"),
         F.count_if(F.coalesce(counted, F.lit(False))).alias("interactions"),
         F.max(F.when(F.col("live") & F.col("soft"), F.col("us"))).alias("last_soft_us"),
     )
-    if not chunk_key(ev):
-        return per_chunk
     earlier = Window.partitionBy(*group).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     open_chunk = F.count("closer_us").over(earlier) == 0
     return (
@@ -124,30 +122,21 @@ def _chained(opens: DataFrame, th: Thresholds, continues: Column) -> DataFrame:
     )
 
 
-def _with_last(events: DataFrame) -> DataFrame:
-    """Add the device-day's last event of any type, from the window whole device-days are in
-    anyway.  Chunked ones get it later, joined to their few sessions."""
-    if chunk_key(events):
-        return events.withColumn("last_us", F.lit(None).cast("long"))
-    return events.withColumn("last_us", F.max("us").over(Window.partitionBy(*DEVICE_DAY)))
-
-
 def _sessions(events: DataFrame, rule: SessionRule, th: Thresholds) -> DataFrame:
     any_closer = F.col("type").isin(list(rule.closes_any)) if rule.closes_any else F.lit(False)
     opens = _opens(events, rule, th, hard=any_closer | F.col("soft"))
     continues = (F.col("p.app_key") == F.col("app_key")) & F.col("p.closer_us").isNull()
     raw = (
         _chained(opens, th, continues)
-        .groupBy(*DEVICE_DAY, "last_us", "s", "app_key")
+        .groupBy(*DEVICE_DAY, "s", "app_key")
         .agg(
             F.max("closer_us").alias("closer_us"),
             F.max("next_us").alias("next_us"),
             F.sum("interactions").alias("interactions"),
         )
     )
-    if th.chunk_s:
-        last = events.groupBy(*DEVICE_DAY).agg(F.max("us").alias("last_us"))
-        raw = raw.drop("last_us").join(last, DEVICE_DAY)
+    last = events.groupBy(*DEVICE_DAY).agg(F.max("us").alias("last_us"))
+    raw = raw.join(last, DEVICE_DAY)
     raw = raw.select(
         *DEVICE_DAY,
         "app_key",

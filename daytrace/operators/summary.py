@@ -19,12 +19,19 @@ def minutes(us: Column) -> Column:
     return F.rint(us / (60.0 * US)).cast("long")
 
 
-def category_summary(activities: DataFrame, taxonomy: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Top categories per user-day: minutes, sessions, mean confidence, share of screen time."""
+def _best(ranked: DataFrame, limit: int | None) -> DataFrame:
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
+
+
+def category_summary(
+    activities: DataFrame, taxonomy: DataFrame, metrics: DataFrame, limit: int | None = None
+) -> DataFrame:
+    """Categories per user-day by rank, the first ``limit`` if given: minutes, sessions, mean
+    confidence, share of screen time."""
     sure = F.sum(F.rint(F.col("confidence") * PPB).cast("long"))
     n = F.count(F.lit(1))
     rows = (
-        activities.join(F.broadcast(taxonomy), "category")
+        activities.join(taxonomy, "category")
         .filter(~F.col("is_system"))
         .groupBy(*USER_DAY, F.col("label").alias("category"))
         .agg(
@@ -36,7 +43,7 @@ def category_summary(activities: DataFrame, taxonomy: DataFrame, metrics: DataFr
     rank = F.row_number().over(
         Window.partitionBy(*USER_DAY).orderBy(F.col("minutes").desc(), "category")
     )
-    top = rows.withColumn("rank", rank).filter(F.col("rank") <= MAX_CATEGORIES)
+    top = _best(rows.withColumn("rank", rank), limit)
     screen = metrics.select(*USER_DAY, minutes(F.col("screen_time_s") * US).alias("screen_minutes"))
     share = F.when(
         F.col("screen_minutes") > 0, tc.round_even(F.col("minutes") / F.col("screen_minutes"), 2)
@@ -46,11 +53,12 @@ def category_summary(activities: DataFrame, taxonomy: DataFrame, metrics: DataFr
     )
 
 
-def top_attention(classified: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """Apps and domains by time per user-day, as category and time bucket; names stay out."""
+def top_attention(classified: DataFrame, taxonomy: DataFrame, limit: int | None = None) -> DataFrame:
+    """Apps and domains by time per user-day, the first ``limit`` if given, as category and time
+    bucket; names stay out."""
     length = F.col("end_us") - F.col("start_us")
     apps = (
-        classified.join(F.broadcast(taxonomy), "category")
+        classified.join(taxonomy, "category")
         .filter(~F.col("is_system"))
         .groupBy(*USER_DAY, "app_key")
         .agg(
@@ -62,7 +70,7 @@ def top_attention(classified: DataFrame, taxonomy: DataFrame) -> DataFrame:
     rank = F.row_number().over(
         Window.partitionBy(*USER_DAY).orderBy(F.col("total_us").desc(), "app_key")
     )
-    return apps.withColumn("rank", rank).filter(F.col("rank") <= MAX_ATTENTION).select(
+    return _best(apps.withColumn("rank", rank), limit).select(
         *USER_DAY,
         "rank",
         "category",
@@ -85,17 +93,15 @@ def focus_summary(focus: DataFrame) -> DataFrame:
     )
 
 
-def confirmed_patterns(patterns: DataFrame) -> DataFrame:
-    """A user's strongest confirmed patterns."""
+def confirmed_patterns(patterns: DataFrame, limit: int | None = None) -> DataFrame:
+    """A user's confirmed patterns by strength, the first ``limit`` if given."""
     rank = F.row_number().over(
         Window.partitionBy("user_id").orderBy(
             F.col("strength").desc(), "pattern", F.col("app_key").asc_nulls_first()
         )
     )
     return (
-        patterns.filter("status = 'confirmed'")
-        .withColumn("rank", rank)
-        .filter(F.col("rank") <= MAX_PATTERNS)
+        _best(patterns.filter("status = 'confirmed'").withColumn("rank", rank), limit)
         .select(
             "user_id",
             "rank",
@@ -241,7 +247,11 @@ def _or_empty(name: str) -> Column:
 
 
 def canonical_json(doc: Column) -> Column:
-    return F.to_json(doc, {"ignoreNullFields": "false"})
+    """The document's JSON text.  A day without a fragmentation index has no key for its difference
+    from the mean; no text inside a value can look like that key, as its quotes would be escaped."""
+    return F.replace(
+        F.to_json(doc, {"ignoreNullFields": "false"}), F.lit('"fragmentation":null,'), F.lit("")
+    )
 
 
 def summary_hash(doc: Column) -> Column:

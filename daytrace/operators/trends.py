@@ -185,7 +185,7 @@ def time_of_day_sink(classified: DataFrame, th: Thresholds, tz: str, day_start_h
     )
     df = df.withColumns(
         {
-            "share_ppm": F.floor(F.col("other_us") * 1_000_000 / F.col("all_us")).cast("long"),
+            "share_ppm": F.expr("other_us * 1000000L div all_us"),
             "day_no": day_no(),
         }
     )

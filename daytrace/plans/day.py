@@ -3,7 +3,6 @@ daily metrics, for all user-days at once."""
 
 from __future__ import annotations
 
-from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -17,7 +16,6 @@ from daytrace.operators import intervals as iv
 from daytrace.operators import metrics as me
 from daytrace.operators import patterns as pa
 from daytrace.operators import sessions as se
-from daytrace.operators.scan import needs_chunks
 from daytrace.sources.tables import stage
 
 
@@ -39,13 +37,7 @@ class DayPlan:
         self.domain_seeds = domain_seeds if domain_seeds is not None else seeds
         self.rules = rules
         self.learned = learned
-        self._given = thresholds
-
-    @cached_property
-    def th(self) -> Thresholds:
-        """The thresholds; device-days stay whole unless one of them is too large for a task."""
-        hot = needs_chunks(self.events, DEVICE_DAY, self._given.rows_per_task)
-        return self._given if hot else replace(self._given, chunk_s=0)
+        self.th = thresholds
 
     @cached_property
     def phone_events(self) -> DataFrame:

@@ -163,11 +163,11 @@ def _(c):
     )
     tax = tm.taxonomy(c.spark)
     groups = tax.select(F.col("category").alias("parent"), F.col("label").alias("group_label"))
-    df = apps.join(F.broadcast(c.plan.seeds), "app_key", "left")
+    df = apps.join(c.plan.seeds, "app_key", "left")
     df = df.withColumn("category", F.coalesce("seed_category", F.lit("unknown")))
     return (
-        df.join(F.broadcast(tax), "category")
-        .join(F.broadcast(groups), "parent")
+        df.join(tax, "category")
+        .join(groups, "parent")
         .select("app_key", "category", "label", "group_label", "is_system", "events")
     )
 
@@ -295,7 +295,7 @@ query("b9_late_beyond_window", """SELECT seq, us, us + k * 13000000000 AS ingest
 
 # --- J ---------------------------------------------------------------------------------------
 query("j1_category_label", "SELECT activity_id, a.category, label, parent FROM acts a JOIN dim_cat d USING (category)")(
-    lambda c: c.plan.activities.join(F.broadcast(tm.taxonomy(c.spark)), "category").select(
+    lambda c: c.plan.activities.join(tm.taxonomy(c.spark), "category").select(
         "activity_id", "category", "label", "parent"
     )
 )
@@ -364,7 +364,7 @@ def category_children(c):
     parents = tax.select(F.col("category").alias("parent"))
     used = c.plan.classified.groupBy("category").agg(F.count(F.lit(1)).alias("sessions"))
     return (
-        tax.join(F.broadcast(parents), "parent")
+        tax.join(parents, "parent")
         .join(used, "category", "left")
         .fillna(0, ["sessions"])
         .select("parent", F.col("category").alias("child"), "label", "sessions")

@@ -74,13 +74,13 @@ def _(c):
 SELECT w.seq::VARCHAR AS event_id, batch_id FROM wire_r w JOIN (
  SELECT batch_id FROM wire_r GROUP BY batch_id HAVING bool_and(reasons = '' AND n % 19 <> 5 AND k <> 31) AND any_value(n) % 17 <> 3) USING (batch_id)""")
 def _(c):
-    """Wire lines from a file stream into the event table; a second run over the same files
-    with a new checkpoint changes nothing."""
+    """Wire batches from a file stream into the event table, in several micro-batches; a second run
+    over the same files with a new checkpoint changes nothing."""
     base = fresh(c)
-    wire.wire_events(c.events).write.parquet(f"{base}/lines")
+    wire.wire_batches(c.events).repartition(4).write.parquet(f"{base}/lines")
     schema = c.spark.read.parquet(f"{base}/lines").schema
     for run in ("first", "again"):
-        lines = c.spark.readStream.schema(schema).parquet(f"{base}/lines")
+        lines = c.spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/lines")
         jobs.ingest_stream(lines, base, run).awaitTermination()
     return c.spark.read.schema(jobs.EVENT_TABLE).parquet(f"{base}/events").select("event_id", "batch_id")
 

@@ -24,7 +24,7 @@ DAY = "CAST(local_date AS VARCHAR) AS local_date"
 # --- D: corrections ----------------------------------------------------------------------------
 part("corr", """
 SELECT user_id, key AS app_key, CASE WHEN value < 12 THEN 'development' WHEN value < 25 THEN 'writing' ELSE 'learning' END AS category,
- us, seq, local_date FROM ev WHERE k % 10 = 0 AND key IS NOT NULL""")
+ us, seq, local_date FROM ev WHERE key IS NOT NULL""")
 part("corr_n", "SELECT *, row_number() OVER (PARTITION BY user_id, app_key ORDER BY us, seq) AS n FROM corr")
 part("prior_rec", """
 SELECT user_id, app_key, n, category, 0.75::DOUBLE AS confidence, 1::BIGINT AS samples, us FROM corr_n WHERE n = 1
@@ -63,7 +63,7 @@ def rollup(c):
     )
     leaves = tax.select("category", "parent")
     totals = (
-        c.plan.classified.join(F.broadcast(leaves), "category")
+        c.plan.classified.join(leaves, "category")
         .groupBy(*USER_DAY, "parent")
         .agg(
             F.max(F.col("category").isin(WORK)).alias("is_work_set"),
@@ -71,7 +71,7 @@ def rollup(c):
         )
     )
     return (
-        totals.join(F.broadcast(groups), "parent")
+        totals.join(groups, "parent")
         .join(renames, ["user_id", "parent"], "left")
         .select(
             *USER_DAY,
@@ -296,14 +296,14 @@ SELECT user_id, isoyear(local_date) AS iso_year, weekofyear(local_date) AS iso_w
 
 
 @query("m6_collector_health", f"""
-SELECT user_id, device_id, max(us) AS last_seen_us, max(seq) AS last_seq, max(us) < {AS_OF} - 10 * 86400000000 AS revoked,
+SELECT user_id, device_id, max(us) AS last_seen_us, max(seq) AS last_seq, (user_id + device_id) % 7 = 0 AS revoked,
  coalesce(any_value(r), 0) AS rejected_batches, {AS_OF} - max(us) > 6 * 3600000000 AS stale
 FROM ev LEFT JOIN (SELECT user_id, device_id, count(*) AS r FROM bat WHERE batch_no % 17 = 3 GROUP BY ALL) USING (user_id, device_id) GROUP BY user_id, device_id""")
 def _(c):
     rejected = wire.batches(c.events).filter("batch_no % 17 = 3").groupBy("user_id", "device_id").agg(
         F.count(F.lit(1)).alias("rejected_batches")
     )
-    return me.collector_health(c.events, rejected, AS_OF, c.plan.th.stale_s)
+    return me.collector_health(c.events, rejected, tm.devices(c.events), AS_OF, c.plan.th.stale_s)
 
 
 part("lat", "SELECT user_id, local_date, k * 13000 AS latency_s, k < 60 AS synced FROM ev")
@@ -372,14 +372,14 @@ FROM acts a JOIN dim_cat d USING (category) WHERE NOT is_system GROUP BY user_id
 part("h_cat", """
 SELECT user_id, local_date, rank, category, minutes, CASE WHEN sm > 0 THEN round_even(minutes / sm * 100.0::DOUBLE, 0) / 100.0::DOUBLE ELSE 0.0::DOUBLE END AS share, sessions, avg_confidence
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id, local_date ORDER BY minutes DESC, category) AS rank FROM h_cat_r)
-JOIN (SELECT user_id, local_date, CAST(round_even(screen_time_s * 1000000 / 60000000.0::DOUBLE, 0) AS BIGINT) AS sm FROM metrics) USING (user_id, local_date) WHERE rank <= 15""")
+JOIN (SELECT user_id, local_date, CAST(round_even(screen_time_s * 1000000 / 60000000.0::DOUBLE, 0) AS BIGINT) AS sm FROM metrics) USING (user_id, local_date)""")
 part("h_att_r", """
 SELECT user_id, local_date, app_key, sum(len)::BIGINT AS total_us, count(*) AS sessions, arg_max(label, {'a': start_us, 'b': device_id}) AS category
 FROM classified JOIN dim_cat USING (category) WHERE NOT is_system GROUP BY ALL""")
 part("h_att", """
 SELECT user_id, local_date, rank, category, sessions, CASE WHEN m < 15 THEN '<15m' WHEN m < 30 THEN '15-30m' WHEN m < 60 THEN '30-60m' WHEN m < 120 THEN '1-2h'
  WHEN m < 180 THEN '2-3h' WHEN m < 240 THEN '3-4h' ELSE '4h+' END AS bucket FROM (SELECT *, total_us / 60000000.0::DOUBLE AS m,
- row_number() OVER (PARTITION BY user_id, local_date ORDER BY total_us DESC, app_key) AS rank FROM h_att_r) WHERE rank <= 15""")
+ row_number() OVER (PARTITION BY user_id, local_date ORDER BY total_us DESC, app_key) AS rank FROM h_att_r)""")
 part("h_foc", """
 SELECT user_id, local_date, count(*) AS sessions, count(CASE WHEN is_deep THEN 1 END) AS deep_sessions,
  CAST(round_even(max(end_us - start_us) / 60000000.0::DOUBLE, 0) AS BIGINT) AS longest_minutes,
@@ -389,7 +389,7 @@ SELECT user_id, local_date, count(*) AS sessions, count(CASE WHEN is_deep THEN 1
 FROM focus_q GROUP BY ALL""")
 part("h_pat", """
 SELECT user_id, rank, pattern AS type, occurrences, round_even(strength * 100.0::DOUBLE, 0) / 100.0::DOUBLE AS strength, status FROM (
- SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY strength DESC, pattern, app_key NULLS FIRST) AS rank FROM patterns WHERE status = 'confirmed') WHERE rank <= 10""")
+ SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY strength DESC, pattern, app_key NULLS FIRST) AS rank FROM patterns WHERE status = 'confirmed')""")
 part("h_goal", """
 SELECT g.user_id, g.local_date, row_number() OVER (PARTITION BY g.user_id, g.local_date ORDER BY priority, g.goal_id) AS rank, name, priority,
  CAST(round_even(target_weekly_min, 0) AS BIGINT) AS target_weekly_minutes, CAST(round_even(t.aligned_min, 0) AS BIGINT) AS aligned_minutes_today,
@@ -430,11 +430,11 @@ SELECT m.user_id, m.local_date, {{
   'screen_minutes': {_MIN.format(c='screen_time_s')}}},
  'weekday': dayname(m.local_date)}} AS doc
 FROM metrics m
-LEFT JOIN (SELECT user_id, local_date, list({{'avg_confidence': avg_confidence, 'category': category, 'minutes': minutes, 'sessions': sessions, 'share': share}} ORDER BY rank) AS x FROM h_cat GROUP BY ALL) c USING (user_id, local_date)
-LEFT JOIN (SELECT user_id, local_date, list({{'bucket': bucket, 'category': category, 'rank': rank, 'sessions': sessions}} ORDER BY rank) AS x FROM h_att GROUP BY ALL) a USING (user_id, local_date)
+LEFT JOIN (SELECT user_id, local_date, list({{'avg_confidence': avg_confidence, 'category': category, 'minutes': minutes, 'sessions': sessions, 'share': share}} ORDER BY rank) AS x FROM h_cat WHERE rank <= 15 GROUP BY ALL) c USING (user_id, local_date)
+LEFT JOIN (SELECT user_id, local_date, list({{'bucket': bucket, 'category': category, 'rank': rank, 'sessions': sessions}} ORDER BY rank) AS x FROM h_att WHERE rank <= 15 GROUP BY ALL) a USING (user_id, local_date)
 LEFT JOIN h_foc f USING (user_id, local_date)
 LEFT JOIN (SELECT user_id, local_date, list({{'aligned_minutes_today': aligned_minutes_today, 'name': name, 'priority': priority, 'target_weekly_minutes': target_weekly_minutes, 'uncertainty': uncertainty, 'week_attainment': week_attainment}} ORDER BY rank) AS x FROM h_goal GROUP BY ALL) g USING (user_id, local_date)
-LEFT JOIN (SELECT user_id, list({{'occurrences': occurrences, 'status': status, 'strength': strength, 'type': type}} ORDER BY rank) AS x FROM h_pat GROUP BY ALL) t USING (user_id)
+LEFT JOIN (SELECT user_id, list({{'occurrences': occurrences, 'status': status, 'strength': strength, 'type': type}} ORDER BY rank) AS x FROM h_pat WHERE rank <= 10 GROUP BY ALL) t USING (user_id)
 LEFT JOIN base30 b USING (user_id, local_date)
 LEFT JOIN (SELECT user_id, local_date, list(DISTINCT platform ORDER BY platform) AS x FROM (
   SELECT user_id, local_date, 'android' AS platform FROM coverage UNION ALL SELECT user_id, local_date, 'browser' FROM arbitrated) GROUP BY ALL) p USING (user_id, local_date)""")
@@ -453,20 +453,22 @@ def documents(c):
     )
     return su.document(
         metrics,
-        su.category_summary(acts, tax, metrics),
-        su.top_attention(plan.classified, tax),
+        su.category_summary(acts, tax, metrics, su.MAX_CATEGORIES),
+        su.top_attention(plan.classified, tax, su.MAX_ATTENTION),
         su.focus_summary(plan.focus),
         su.goal_summary(active, windows),
-        su.confirmed_patterns(plan.patterns),
+        su.confirmed_patterns(plan.patterns, su.MAX_PATTERNS),
         tr.trailing_baseline(metrics, plan.th),
         platforms,
     )
 
 
-query("h5_daily_summary_doc", f"SELECT user_id, {DAY}, CAST(to_json(doc) AS VARCHAR) AS doc FROM h_doc")(
+query("h5_daily_summary_doc", f"""
+SELECT user_id, {DAY}, replace(CAST(to_json(doc) AS VARCHAR), '"fragmentation":null,', '') AS doc FROM h_doc""")(
     lambda c: documents(c).withColumn("doc", su.canonical_json(F.col("doc")))
 )
-query("h6_summary_hash", f"SELECT user_id, {DAY}, sha256(CAST(to_json(doc) AS VARCHAR)) AS hash FROM h_doc")(
+query("h6_summary_hash", f"""
+SELECT user_id, {DAY}, sha256(replace(CAST(to_json(doc) AS VARCHAR), '"fragmentation":null,', '')) AS hash FROM h_doc""")(
     lambda c: documents(c).select(*USER_DAY, su.summary_hash(F.col("doc")).alias("hash"))
 )
 query("h7_day_score", f"""
@@ -478,13 +480,13 @@ FROM h_doc)""")(lambda c: documents(c).select(*USER_DAY, su.day_score().alias("s
 
 # --- V -----------------------------------------------------------------------------------------
 part("ana", """SELECT seq AS analysis_id, user_id, CASE WHEN k % 2 = 0 THEN 'day' ELSE 'week' END AS scope, local_date, us AS created_us, value AS cost,
- CASE WHEN k % 3 = 0 THEN 'manual' ELSE 'scheduled' END AS triggered_by FROM ev WHERE event_type = 'purchase'""")
+ CASE WHEN k % 3 = 0 THEN 'manual' ELSE 'scheduled' END AS triggered_by FROM ev""")
 
 
 def analyses(c):
-    """Analysis ledger of the sample: one row per purchase event."""
+    """Analysis ledger of the sample: one row per event."""
     k = F.col("k")
-    return c.events.filter("event_type = 'purchase'").select(
+    return c.events.select(
         F.col("seq").alias("analysis_id"),
         "user_id",
         F.when(k % 2 == 0, "day").otherwise("week").alias("scope"),
@@ -530,12 +532,12 @@ query("v3_timeline_unified", f"""
 SELECT activity_id, {DAY}, label, start_us, end_us, is_cross_device, app_keys FROM acts JOIN dim_cat USING (category) JOIN (
  SELECT activity_id, array_to_string(list_sort(list(DISTINCT c.app_key)), ',') AS app_keys
  FROM (SELECT activity_id, unnest(session_ids) AS session_id FROM acts) a JOIN classified c USING (session_id) GROUP BY activity_id) USING (activity_id)""")(
-    lambda c: c.plan.activities.join(F.broadcast(tm.taxonomy(c.spark)), "category")
+    lambda c: c.plan.activities.join(tm.taxonomy(c.spark), "category")
     .join(activity_apps(c.plan), "activity_id")
     .select("activity_id", "local_date", "label", "start_us", "end_us", "is_cross_device", "app_keys")
 )
 query("v4_focus_list", f"SELECT user_id, {DAY}, label, start_us, end_us, is_deep FROM focus JOIN dim_cat USING (category)")(
-    lambda c: c.plan.focus.join(F.broadcast(tm.taxonomy(c.spark)), "category")
+    lambda c: c.plan.focus.join(tm.taxonomy(c.spark), "category")
     .select(*USER_DAY, "label", "start_us", "end_us", "is_deep")
     .orderBy(*USER_DAY, "start_us")
 )

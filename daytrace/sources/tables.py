@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,17 +12,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage.  The cluster names it in ``spark.checkpoint.dir``;
-    only a local session (tests) gets a folder of its own."""
+    """The shared folder for cut lineage.  The cluster names it in ``spark.checkpoint.dir``; where that is
+    unset (tests), it lies beside the warehouse, which a cluster shares too."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor shares")
-        path = os.path.join(tempfile.mkdtemp(prefix="daytrace-"), "checkpoints")
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
     sc.setCheckpointDir(path)
     return path
 

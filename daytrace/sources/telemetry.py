@@ -143,10 +143,18 @@ def learned_priors(ev: DataFrame) -> DataFrame:
     )
 
 
+def devices(ev: DataFrame) -> DataFrame:
+    """Enrolled devices of the sample; some were revoked at their last event."""
+    gone = (F.col("user_id") + F.col("device_id")) % 7 == 0
+    return ev.groupBy("user_id", "device_id").agg(F.max("us").alias("us")).select(
+        "user_id", "device_id", F.when(gone, F.col("us")).alias("revoked_us")
+    )
+
+
 def corrections(ev: DataFrame) -> DataFrame:
-    """Category corrections derived from every tenth app event."""
+    """Category corrections derived from every app event."""
     v = F.col("value")
-    return ev.filter((F.col("k") % 10 == 0) & F.col("key").isNotNull()).select(
+    return ev.filter(F.col("key").isNotNull()).select(
         "user_id",
         F.col("key").alias("app_key"),
         F.when(v < 12, "development").when(v < 25, "writing").otherwise("learning").alias(

@@ -68,6 +68,13 @@ def wire_events(ev: DataFrame) -> DataFrame:
     )
 
 
+def wire_batches(ev: DataFrame) -> DataFrame:
+    """The wire events as devices send them: one row per batch, at most ``BATCH`` lines each."""
+    return wire_events(ev).groupBy("batch_id", "batch_device", "seq_from", "seq_to").agg(
+        F.max("seq").alias("arrival"), F.sort_array(F.collect_list("line")).alias("lines")
+    )
+
+
 def deliveries(ev: DataFrame) -> DataFrame:
     """Batches as delivered: every fourth arrives twice, an hour apart."""
     times = F.when(F.col("batch_no") % 4 == 1, 2).otherwise(1)

@@ -10,9 +10,10 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from daytrace.config import USER_DAY
 from daytrace.operators import ingest as ing
-from daytrace.sources.tables import create_table, overwrite_days, overwrite_partitions, stage
+from daytrace.sources.tables import create_table, overwrite_days, stage
 
-EVENT_TABLE = "event_id string, device_id string, batch_id string, us bigint, type string, day date, epoch string"
+EVENT_TABLE = "event_id string, device_id string, batch_id string, us bigint, type string, day date"
+BATCH_TABLE = "batch_id string, accepted boolean, events bigint, seq_to bigint"
 
 
 def drain(df: DataFrame, name: str, path: str) -> DataFrame:
@@ -30,44 +31,45 @@ def drain(df: DataFrame, name: str, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
-def ingest_stream(lines: DataFrame, base: str, name: str = "ingest") -> StreamingQuery:
-    """Take wire batches from a stream into ``base``/events.
+def ingest_stream(batches: DataFrame, base: str, name: str = "ingest") -> StreamingQuery:
+    """Take wire batches from a stream into ``base``/events and ``base``/batches.
 
-    Each micro-batch is checked, whole batches are accepted or set aside, events already in the
-    table are dropped, and the rest is written under its epoch.  A repeated epoch overwrites
-    its own files, so a restart neither loses nor doubles rows.  ``name`` identifies the stream:
-    each has its own checkpoint and its own epochs.
+    A row is a whole batch (batch_id, batch_device, seq_from, seq_to, arrival, lines), so a batch is
+    judged as a whole wherever a micro-batch ends.  Batches in the ledger ``base``/batches are replays
+    and change nothing.  An event that several batches carry belongs to the one that arrived first.
+    Events are stored by day, and only the days that a micro-batch touches are read to drop those
+    known.  Events are written before the ledger, and both only where not there yet, so a repeated
+    micro-batch neither loses nor doubles rows.  ``name`` identifies the stream's checkpoint.
     """
-
-    create_table(lines.sparkSession, f"{base}/events", EVENT_TABLE, "epoch")
+    spark = batches.sparkSession
+    create_table(spark, f"{base}/events", EVENT_TABLE, "day")
+    spark.createDataFrame([], BATCH_TABLE).write.mode("ignore").parquet(f"{base}/batches")
 
     def take(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        parsed = ing.parse_envelope(batch).persist()
+        ledger = spark.read.schema(BATCH_TABLE).parquet(f"{base}/batches").select("batch_id")
+        first = batch.groupBy("batch_id").agg(F.min_by(F.struct("*"), F.struct("arrival", "lines")).alias("b"))
+        fresh = first.select("b.*").join(ledger, "batch_id", "left_anti")
+        parsed = ing.parse_envelope(fresh.withColumn("line", F.explode("lines")).drop("lines")).persist()
         verdicts = ing.batch_verdicts(parsed)
         good = parsed.join(verdicts.filter("accepted").select("batch_id"), "batch_id", "left_semi")
-        rows = good.select(
-            "e.event_id",
-            "e.device_id",
-            "batch_id",
-            (F.col("e.ts_utc") * 1000).alias("us"),
-            "e.type",
-            F.to_date(F.timestamp_millis("e.ts_utc")).alias("day"),
-        ).dropDuplicates(["event_id", "us"])
-        mine = f"{name}-{epoch}"
-        known = spark.read.schema(EVENT_TABLE).parquet(f"{base}/events")
-        known = known.filter(F.col("epoch") != mine)
-        days = rows.select("day").distinct()
-        # only the stored days this batch touches are compared
-        known = known.join(days, "day", "left_semi").select("event_id", "us")
-        new = rows.join(known, ["event_id", "us"], "left_anti").withColumn("epoch", F.lit(mine))
-        overwrite_partitions(new, f"{base}/events", "epoch")
-        rejected = verdicts.filter("not accepted").withColumn("epoch", F.lit(mine))
-        overwrite_partitions(rejected, f"{base}/quarantine", "epoch")
+        event = F.struct("arrival", "batch_id", "e.device_id", "e.type")
+        rows = good.groupBy(F.col("e.event_id").alias("event_id"), (F.col("e.ts_utc") * 1000).alias("us")).agg(
+            F.min(event).alias("v")
+        )
+        rows = rows.select(
+            "event_id", "v.device_id", "v.batch_id", "us", "v.type", F.to_date(F.timestamp_micros("us")).alias("day")
+        ).persist()
+        days = [r.day for r in rows.select("day").distinct().collect()]  # days, not events
+        known = spark.read.schema(EVENT_TABLE).parquet(f"{base}/events").filter(F.col("day").isin(days))
+        new = rows.join(known.select("event_id", "us"), ["event_id", "us"], "left_anti")
+        new.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(f"{base}/events")
+        verdicts.select("batch_id", "accepted", "events", "seq_to").write.mode("append").parquet(f"{base}/batches")
+        rows.unpersist()
         parsed.unpersist()
 
     return (
-        lines.writeStream.foreachBatch(take)
+        batches.writeStream.foreachBatch(take)
         .option("checkpointLocation", f"{base}/checkpoint-{name}")
         .trigger(availableNow=True)
         .start()

@@ -1,4 +1,4 @@
-"""Splitting device-days into time chunks gives the rows of whole device-days."""
+"""The width of the time chunks does not change the rows."""
 
 from dataclasses import replace
 
@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 @pytest.fixture(scope="module")
 def plans(spark):
     whole = tm.sample_plan(spark, SF)
-    hot = replace(tm.SAMPLE, rows_per_task=5, chunk_s=1800)
-    split = DayPlan(whole.events, whole.seeds, hot, rules=whole.rules, learned=whole.learned)
-    assert whole.th.chunk_s == 0 and split.th.chunk_s == 1800
-    return whole, split
+    plan = lambda s: DayPlan(
+        whole.events, whole.seeds, replace(tm.SAMPLE, chunk_s=s), rules=whole.rules, learned=whole.learned
+    )
+    return plan(40 * 86400), plan(1800)
 
 
 def rows(df):

@@ -9,7 +9,7 @@ from daytrace.config import Thresholds
 from daytrace.operators import coverage as cov
 from test_sessions import all_cases
 
-MODES = {"whole": replace(Thresholds(), chunk_s=0), "chunked": replace(Thresholds(), chunk_s=120)}
+MODES = {"whole": replace(Thresholds(), chunk_s=86400), "chunked": replace(Thresholds(), chunk_s=120)}
 START, END = -2 * 3600, 22 * 3600  # the day window around the base instant
 
 CASES = {

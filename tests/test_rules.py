@@ -12,7 +12,7 @@ from daytrace.operators import focus as fo
 from daytrace.operators import intervals as iv
 from daytrace.operators import patterns as pa
 
-TH = replace(Thresholds(), chunk_s=0)
+TH = replace(Thresholds(), chunk_s=600)
 MIN = 60
 DAYS = [dt.date(2024, 1, d) for d in range(1, 9)]
 

@@ -10,7 +10,7 @@ from conftest import rel
 from daytrace.config import Thresholds
 from daytrace.operators import sessions as se
 
-MODES = {"whole": replace(Thresholds(), chunk_s=0), "chunked": replace(Thresholds(), chunk_s=60)}
+MODES = {"whole": replace(Thresholds(), chunk_s=86400), "chunked": replace(Thresholds(), chunk_s=60)}
 FG, BG, TOUCH = "APP_FOREGROUND", "APP_BACKGROUND", "USER_INTERACTION"
 H = 3600
 
