@@ -95,7 +95,7 @@ def expected_top(rows, k):
 def test_top_k_is_exact(spark, scratch, block):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.choice([0.0, 0.0, 0.5, -0.25, 0.1], 6)], 1) for i in range(250)]
-    rows += [rows[7], rows[7], (100, rows[100][1], 2), (300, None, 1), (400, [], 1), (500, [1.0, None, 0, 0, 0, 0], 1)]
+    rows += [rows[7], rows[7], (100, rows[100][1], 2), (300, None, 1), (400, [], 1), (500, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1)]
     rows += [(600, [float("nan")] * 6, 1), (700, [float("inf")] * 6, 1), (None, [1.0] * 6, 1), (251, [0.5, 0.5], None)]
     got = topk.top_k(frame(spark, rows), scratch, block=block).collect()
     assert sorted(map(tuple, got)) == expected_top(rows, 10)
