@@ -39,9 +39,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    groups = link_texts(docs, Scratch(spark, "near_dedup")).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(groups, F.col("doc_id") == F.col("_id"), "left_semi").select(COLUMNS)
+    """One document of each group of near copies, that of the smallest id.  Rows without id are
+    told apart by their text; of rows that repeat an id and its text one stays."""
+    own = F.coalesce(F.col("doc_id"), -1 - F.shiftrightunsigned(F.xxhash64("text"), 1))
+    keyed = docs.withColumn("_id", own)
+    groups = link_texts(keyed, Scratch(spark, "near_dedup"), row_key="_id").where("kept").select("doc_id").distinct()
+    kept = keyed.join(groups.withColumnRenamed("doc_id", "_kept"), F.col("_id") == F.col("_kept"), "left_semi")
+    return kept.dropDuplicates(["_id", "text"]).select(COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,3 +85,17 @@ def test_run_gives_the_last_stage(spark, stages):
     got = Counter(tuple(sorted(r.asDict().items())) for r in cp.run(spark, SF).select("doc_id", "piece", "length", "ids_crc32").collect())
     keys = ("doc_id", "piece", "length", "ids_crc32")
     assert got == Counter(tuple(sorted((k, r[k]) for k in keys)) for r in stages["packing"])
+
+
+def test_near_dedup_of_rows_without_or_with_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(None, "alone a b c d e f"), (None, "alone a b c d e f"), (3, text), (4, text + " x"), (3, text), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in cp.near_dedup(spark, docs, SF).collect()), key=repr)
+    assert got == sorted([(None, "alone a b c d e f"), (3, text), (5, None), (6, "")], key=repr)
+
+
+@pytest.mark.parametrize("name, stage", cp.STAGES)
+def test_stages_of_nothing(spark, name, stage):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    assert not stage(spark, docs, SF).take(1)
