@@ -93,6 +93,26 @@ def coverage_intervals(states: DataFrame, th: Thresholds, exempt: Column | None
     return coalesce_intervals(segments, DEVICE_DAY, th)
 
 
+def silent_days(enrolled: DataFrame, events: DataFrame) -> DataFrame:
+    """Device-days without any event.  ``enrolled``: user_id, device_id, tz, day_start_hour, first_date,
+    last_date (both included)."""
+    days = enrolled.filter("first_date <= last_date").select(
+        "user_id", "device_id", "tz", "day_start_hour",
+        F.explode(F.sequence("first_date", "last_date")).alias("local_date"),
+    )
+    return days.join(events.select(*DEVICE_DAY).distinct(), DEVICE_DAY, "left_anti")
+
+
+def silent_intervals(silent: DataFrame) -> DataFrame:
+    """One unobserved interval over the whole window of each silent device-day."""
+    return _window(silent).select(
+        *DEVICE_DAY,
+        F.col("win_start").alias("start_us"),
+        F.col("win_end").alias("end_us"),
+        F.lit(UNOBSERVED).alias("state"),
+    )
+
+
 def coalesce_intervals(df: DataFrame, keys: list[str], th: Thresholds) -> DataFrame:
     """Join touching neighbours of the same state (start_us, end_us, state per key)."""
     df = chunked(df.select(*keys, "start_us", "end_us", "state"), keys, "start_us", th.chunk_s * US)

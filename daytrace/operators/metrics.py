@@ -57,7 +57,11 @@ def work_partition(classified: DataFrame, focus: DataFrame) -> DataFrame:
 def daily_metrics(plan) -> DataFrame:
     """The wide user-day row: all parts are aggregated per user-day first, then joined."""
     th = plan.th
-    days = plan.events.groupBy(*USER_DAY).agg(
+    rows = plan.events.select(*USER_DAY, "tz", "day_start_hour", "type")
+    if plan.silent is not None:
+        quiet = plan.silent.select(*USER_DAY, "tz", "day_start_hour", F.lit(None).cast("string").alias("type"))
+        rows = rows.unionByName(quiet)
+    days = rows.groupBy(*USER_DAY).agg(
         F.min("tz").alias("tz"),
         F.min("day_start_hour").alias("day_start_hour"),
         F.count_if(F.col("type") == "DEVICE_UNLOCK").alias("unlock_count"),

@@ -31,12 +31,16 @@ class DayPlan:
         domain_seeds: DataFrame | None = None,
         rules: DataFrame | None = None,
         learned: DataFrame | None = None,
+        enrolled: DataFrame | None = None,
     ) -> None:
+        """``enrolled`` (phones: user_id, device_id, tz, day_start_hour, first_date, last_date) adds the
+        device-days without events, which are unobserved from end to end."""
         self.events = events
         self.seeds = seeds
         self.domain_seeds = domain_seeds if domain_seeds is not None else seeds
         self.rules = rules
         self.learned = learned
+        self.enrolled = enrolled
         self.th = thresholds
 
     @cached_property
@@ -131,7 +135,15 @@ class DayPlan:
 
     @cached_property
     def coverage(self) -> DataFrame:
-        return stage(cov.coverage_intervals(self.states, self.th))
+        found = cov.coverage_intervals(self.states, self.th)
+        if self.silent is not None:
+            found = found.unionByName(cov.silent_intervals(self.silent))
+        return stage(found)
+
+    @cached_property
+    def silent(self) -> DataFrame | None:
+        """Enrolled device-days without events."""
+        return None if self.enrolled is None else cov.silent_days(self.enrolled, self.phone_events)
 
     @cached_property
     def virtual_coverage(self) -> DataFrame:

@@ -143,6 +143,13 @@ def learned_priors(ev: DataFrame) -> DataFrame:
     )
 
 
+def enrolled_phones(ev: DataFrame) -> DataFrame:
+    """Phones of the sample, enrolled from the user's first to the last day."""
+    span = ev.groupBy("user_id").agg(F.min("local_date").alias("first_date"), F.max("local_date").alias("last_date"))
+    phones = ev.filter("platform = 'android'").select("user_id", "device_id", "tz", "day_start_hour").distinct()
+    return phones.join(span, "user_id")
+
+
 def devices(ev: DataFrame) -> DataFrame:
     """Enrolled devices of the sample; some were revoked at their last event."""
     gone = (F.col("user_id") + F.col("device_id")) % 7 == 0

@@ -75,3 +75,20 @@ def test_media_time_is_not_idle(events, th):
     states = cov.signal_states(events(rows), th, media_apps=["tv"])
     out = cov.coverage_intervals(states, th, exempt=states["media"]).collect()
     assert "IDLE" not in {r.state for r in out}
+
+
+def test_enrolled_days_without_events_are_unobserved(spark, events):
+    import datetime as dt
+
+    from daytrace.plans.day import DayPlan
+    from daytrace.sources import telemetry as tm
+
+    ev = events([(0, "SCREEN_ON", None), (60, "SCREEN_OFF", None)])
+    enrolled = spark.createDataFrame(
+        [(1, 0, "UTC", 4, dt.date(2023, 12, 31), dt.date(2024, 1, 2))],
+        "user_id long, device_id int, tz string, day_start_hour int, first_date date, last_date date",
+    )
+    plan = DayPlan(ev, tm.priors(spark, {}), Thresholds(), enrolled=enrolled)
+    got = {r.local_date: r for r in plan.metrics.collect()}
+    assert sorted(got) == [dt.date(2023, 12, 31), dt.date(2024, 1, 1), dt.date(2024, 1, 2)]
+    assert got[dt.date(2024, 1, 2)].unobserved_s == 86400 and got[dt.date(2024, 1, 2)].coverage_ratio == 0
