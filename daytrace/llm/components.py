@@ -26,13 +26,14 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         ends = e.select("a", "b").union(e.select(F.col("b"), F.col("a")))
         step = scratch.put(ends.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")))
         left, right = step.toDF("a", "ra"), step.toDF("b", "rb")
-        e = scratch.put(
+        last, e = e, scratch.put(
             e.join(left, "a")
             .join(right, "b")
             .where(F.col("ra") != F.col("rb"))
             .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
             .distinct()
         )
+        scratch.drop(last)
         if roots is None:
             roots = step.toDF("node", "root")
         else:
@@ -40,6 +41,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             roots = scratch.put(
                 roots.join(nxt, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
             )
+            scratch.drop(step)
     if roots is None:
         return scratch.spark.createDataFrame([], "node string, root string").select(
             F.col("node").cast(kind), F.col("root").cast(kind)

@@ -178,6 +178,7 @@ def link_vectors(
     comps = components(found.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")), scratch)
     own = classes.select("key", "copies", "first").join(links, "key", "left").join(comps.toDF("key", "root"), "key", "left")
     own = scratch.put(own.withColumn("root", F.coalesce("root", "key")))
+    scratch.drop(classes, found)
     least_id = own.groupBy("root").agg(F.min("first").alias("component"))
     per_class = own.join(least_id, "root").select(
         F.col("key").alias("_key"), (F.col("copies") - 1 + F.coalesce("_links", F.lit(0))).alias("n"), "component"

@@ -79,7 +79,7 @@ def assign_shards(
     by_range = Window.partitionBy("_range")
     order = by_range.orderBy("_key")
     same = Window.partitionBy("_range", "_group")
-    placed = scratch.put(
+    in_range = placed = scratch.put(
         placed.withColumn("_group", F.shiftright("_key", ROW_BITS))
         .withColumn("_end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_nth", F.row_number().over(order))
@@ -107,6 +107,7 @@ def assign_shards(
         (F.col("_n0") + F.col("_nth") - 1).alias("_at"),
     )
     placed = scratch.put(placed)
+    scratch.drop(slim, in_range)
     first = placed.groupBy("shard").agg(F.min("_at").alias("_first")).withColumnRenamed("shard", "_s")
     return placed.join(F.broadcast(first), F.col("shard") == F.col("_s")).select(  # one row per shard
         *kept,
