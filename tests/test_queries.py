@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF
+from daytrace.plans import catalogue
 from scripts.check import TABLES, compare
 
 KEYS = [
@@ -31,7 +32,8 @@ def test_matches_sql(spark, duck, key):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
+    assert set(catalogue.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
