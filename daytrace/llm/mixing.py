@@ -54,13 +54,15 @@ def mix(
     text: str = "text",
     source: str = "source",
     row_key: str = "doc_id",
+    row: str | None = None,
     block: int = 1024,
     most: int = 3,
     cycle: int = 3,
 ) -> tuple[DataFrame, DataFrame]:
     """The mixture, and what it takes of each document.
 
-    Documents of a source are shuffled by a digest of ``row_key`` and laid end to end, again and again;
+    Documents of a source are shuffled by a digest of ``row_key``, and those without key by a digest of
+    source and text; they are laid end to end, again and again;
     the stretch is cut into blocks of ``block`` words (the last of each pass is shorter).  A source needs
     as many blocks as hold its target.  Slot n of the mixture is the n-th golden-ratio point mapped
     through the cumulated needs of all sources; slots of a source are ranked, and its k-th slot takes its
@@ -70,26 +72,33 @@ def mix(
     Returns two frames.  The mixture: slot, source, pass, block, row (a document's number), from_word, to_word
     (of the document).  The documents: row, doc_id (``row_key``), size (words), source_size, target,
     taken (words, repeats counted; at most ``most`` times the size).  Words are runs of other than ASCII
-    white space; a null or empty text has size 0 and is never taken.  Null sources are one source; null
-    or equal keys are shuffled in any order that reruns repeat.  Repeated rows are documents of their own.
-    Long sources are numbered in parts (by digest, by block range), so no task holds a source.
+    white space; a null or empty text has size 0 and is never taken.  Null sources are one source.
+    Documents with equal keys are neighbours, by size, then by the digest of their text, then by row.
+    Repeated rows are documents of their own.  ``row`` names a column of distinct numbers, one a row, that
+    the result carries as row; without it rows are numbered here.  Sources are numbered in parts (by
+    range of the shuffled order, by block range), so no task holds a source, nor the rows of one key.
     """
-    d = docs.select(F.col(row_key).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"))
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    d = scratch.put(
-        d.withColumn("_key", key).withColumn("_part", F.substring(key, 1, 3)).withColumn("row", F.monotonically_increasing_id())
-    )
+    digest = F.xxhash64(F.col(source).cast("string"), F.col(text))
+    d = docs.select(
+        F.col(row_key).alias("doc_id"),
+        F.col(source).alias("source"),
+        words(F.col(text)).alias("size"),
+        digest.alias("_digest"),
+        (F.monotonically_increasing_id() if row is None else F.col(row)).alias("row"),
+    )
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.col("_digest").cast("string"))))
+    d = scratch.put(d.withColumn("_key", key))
     targets = scratch.put(source_targets(d.select("source", "size"), scratch, most=most, cycle=cycle))
 
     # where each document lies in its source
+    order = ["_key", "doc_id", "size", "_digest", "row"]
+    d = scratch.put(d.repartitionByRange("source", *order).withColumn("_part", F.spark_partition_id()))
     parts = d.groupBy("source", "_part").agg(F.sum("size").alias("_n"))
     earlier = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(
         F.col("source").alias("_s"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_b")
     )
-    inside = Window.partitionBy("source", "_part").orderBy("_key", "doc_id", "size", "row").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    inside = Window.partitionBy("source", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     at = F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("_b")
     d = d.join(parts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")))
     placed = scratch.put(d.select("row", "doc_id", "source", "size", at.alias("at")))
@@ -193,15 +202,15 @@ def _schedule(t: DataFrame, scratch: Scratch) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     """Whole documents as often as the mixture takes them: words taken over words, rounded half up.
-    Documents with no words are not part of a mixture."""
-    _, result = mix(docs, scratch, **options)
-    key = options.get("row_key", "doc_id")
+    Documents with no words are not part of a mixture.  Each row counts by itself, whatever its key: rows
+    are numbered once, in a table, and what the mixture takes of a row comes back by that number."""
+    numbered = scratch.put(docs.withColumn("_row", F.monotonically_increasing_id()))
+    _, result = mix(numbered, scratch, row="_row", **options)
     times = result.where("size > 0").select(
-        F.col("doc_id").alias("_doc"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_times")
+        F.col("row").alias("_of"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_times")
     )
-    times = times.groupBy("_doc").agg(F.max("_times").alias("_times")).where("_times > 0")
     return (
-        docs.join(times, F.col(key).eqNullSafe(F.col("_doc")))
+        numbered.join(times.where("_times > 0"), F.col("_row") == F.col("_of"))
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
         .select(*docs.columns)
     )

@@ -274,6 +274,25 @@ def test_mixing_nothing(spark, scratch):
     assert not mixing.mixed_documents(blank, scratch).take(1)
 
 
+def test_rows_without_or_with_one_id_are_mixed_one_by_one(spark, scratch):
+    rng = random.Random(4)
+    rows = [(None, " ".join(["w"] * rng.randint(1, 9)) + f" a{i}", "a") for i in range(30)]
+    rows += [(None, " ".join(["w"] * rng.randint(1, 9)) + f" b{i}", "b") for i in range(600)]
+    rows += [(7, " ".join(["w"] * rng.randint(1, 9)) + f" c{i}", "c") for i in range(300)] + [(None, "same", "b")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    sizes, got = Counter(), Counter()
+    for _, text, source in rows:
+        sizes[source] += len(text.split())
+    times = Counter((r.doc_id, r.text, r.source) for r in mixing.mixed_documents(docs, scratch).collect())
+    for (_, text, source), n in times.items():
+        got[source] += n * len(text.split())
+    want = expected_targets(sizes)
+    assert all(abs(got[s] - want[s]) <= 10 for s in want)
+    # of the large source a part goes, and it is not that of the short texts
+    long = [t for _, t, s in rows if s == "b" and len(t.split()) > 5]
+    assert 0 < sum((None, t, "b") in times for t in long) < len(long)
+
+
 # 8: lines ---------------------------------------------------------------------------------------
 
 
