@@ -10,6 +10,7 @@ from daytrace.config import US, USER_DAY
 from daytrace.functions import timecols as tc
 from daytrace.operators import attribution as at
 from daytrace.operators import metrics as me
+from daytrace.operators import sessions as se
 from daytrace.plans.day import DayPlan
 from daytrace.plans.oracle import part
 from daytrace.plans.registry import query
@@ -109,23 +110,47 @@ def _(c):
 @query("s5_stream_sessions", f"""SELECT user_id, device_id, {DAY}, app_key, start_us, end_us, interactions,
   truncated, merged_from FROM app_sessions""")
 def _(c):
-    """App sessions from the event stream.  One closing row far ahead moves the watermark past
-    the last day, so that every state is flushed."""
-    path = fresh(c)
-    ev = event_stream(c).filter("platform = 'android'")
+    """App sessions from the event stream, late rows included."""
+    return sessions_of_stream(event_stream(c).filter("platform = 'android'"), fresh(c))
+
+
+def sessions_of_stream(ev, path, delay_days=7):
+    """App sessions of a stream of phone events, in the table ``path``/days.
+
+    Late rows are split off first.  The others go through the state machine, where one closing row
+    far ahead moves the watermark past the last day, so that every state is flushed.  Then the days
+    that the late rows marked dirty are rebuilt from all their events.
+    """
+    spark = ev.sparkSession
     cols = ["user_id", "device_id", "local_date", "us", "seq", "type", "key"]
+    ev = ev.select(*cols)
+    jobs.split_late(ev, path, delay_days * 86400).awaitTermination()
     end = tc.day_window(F.col("local_date"), F.lit(tm.TZ), F.lit(tm.DAY_START))[1]
-    ahead = c.spark.createDataFrame([(1,)], "one int").select(
+    ahead = spark.createDataFrame([(1,)], "one int").select(
         F.lit(-1).cast("long").alias("user_id"), F.lit(0).alias("device_id"),
         F.lit("2100-01-01").cast("date").alias("local_date"), F.lit(4102488000 * US).alias("us"),
         F.lit(0).cast("long").alias("seq"), F.lit("HEALTH").alias("type"), F.lit(None).cast("string").alias("key"),
     )
     ahead.write.parquet(f"{path}/closing")
-    closing = c.spark.readStream.schema(ahead.schema).parquet(f"{path}/closing")
+    closing = spark.readStream.schema(ahead.schema).parquet(f"{path}/closing")
     rows = (
-        ev.select(*cols)
+        spark.readStream.schema(ev.schema).parquet(f"{path}/on_time")
+        .select(*cols)
         .unionByName(closing.select(*cols))
         .withColumns({"day_end_us": end, "ts": F.timestamp_micros("us")})
-        .withWatermark("ts", "7 days")
+        .withWatermark("ts", f"{delay_days} days")
     )
-    return jobs.drain(state.stream_sessions(rows, tm.SAMPLE), "sessions", path)
+    made = jobs.drain(state.stream_sessions(rows, tm.SAMPLE), "sessions", path)
+    overwrite_days(made, f"{path}/days")
+
+    both = [spark.read.schema(ev.schema).parquet(f"{path}/{name}").select(*cols) for name in ("on_time", "late")]
+    taken = both[0].unionByName(both[1]).withColumns(
+        {"platform": F.lit("android"), "tz": F.lit(tm.TZ), "day_start_hour": F.lit(tm.DAY_START)}
+    )
+    dirty = spark.read.schema("user_id bigint, local_date date").parquet(f"{path}/dirty").select(*USER_DAY).distinct()
+
+    def build(days):
+        return se.app_sessions(days, tm.SAMPLE).select(*made.columns)
+
+    jobs.recompute_dirty(taken, dirty, build, f"{path}/days")
+    return spark.read.schema(made.schema).parquet(f"{path}/days")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from daytrace.config import USER_DAY
+from daytrace.config import US, USER_DAY
 from daytrace.operators import ingest as ing
 from daytrace.sources.tables import create_table, overwrite_days, stage
 
@@ -76,6 +76,44 @@ def ingest_stream(batches: DataFrame, base: str, name: str = "ingest") -> Stream
     )
 
 
+def split_late(events: DataFrame, base: str, delay_s: int) -> StreamingQuery:
+    """Take events (with us, user_id, local_date) from a stream into ``base``/on_time or ``base``/late.
+
+    An event is late if it is no newer than the newest one of earlier micro-batches less ``delay_s``:
+    then a watermark of that delay, at the pace of these micro-batches or slower, would drop it.  The
+    days of late events are marked in ``base``/dirty.  Each micro-batch owns a part of every table and
+    replaces it when it is repeated, so no event is lost or doubled.
+    """
+    spark = events.sparkSession
+    tables = {"on_time": events.schema.simpleString()[7:-1], "dirty": "user_id bigint, local_date date", "newest": "us bigint"}
+    tables["late"] = tables["on_time"]
+    for name, schema in tables.items():
+        create_table(spark, f"{base}/{name}", f"{schema.replace(':', ' ')}, epoch bigint", "epoch")
+
+    def take(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        newest = spark.read.schema("us bigint, epoch bigint").parquet(f"{base}/newest").filter(F.col("epoch") < epoch)
+        line = newest.agg(F.max("us")).first()[0]
+        is_late = F.lit(False) if line is None else F.col("us") <= line - delay_s * US
+        batch = batch.withColumn("epoch", F.lit(epoch).cast("long")).persist()
+        late = batch.filter(is_late)
+        for name, rows in (
+            ("late", late),
+            ("dirty", late.select(*USER_DAY, "epoch").distinct()),
+            ("on_time", batch.filter(~is_late)),
+            ("newest", batch.groupBy("epoch").agg(F.max("us").alias("us"))),
+        ):
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(f"{base}/{name}")
+        batch.unpersist()
+
+    return (
+        events.writeStream.foreachBatch(take)
+        .option("checkpointLocation", f"{base}/checkpoint-split")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def recompute_dirty(
     events: DataFrame, dirty: DataFrame, build: Callable[[DataFrame], DataFrame], path: str
 ) -> None:

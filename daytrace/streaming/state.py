@@ -55,9 +55,10 @@ def stream_attribution(signals: DataFrame, wake_bound_us: int | None = None) ->
 def stream_sessions(events: DataFrame, th: Thresholds) -> DataFrame:
     """App sessions from a stream, one state per device-day.
 
-    ``events`` needs day_end_us and an event-time column ``ts`` with a watermark.  Finished
-    sessions are held until they cannot merge any more; once the watermark passes the day's
-    end, the open one is closed at the day's last event and the state is dropped.
+    ``events`` needs day_end_us and an event-time column ``ts`` with a watermark.  Rows may come in
+    any order until the watermark passes the day's end: they are held, then cut into sessions in
+    (us, seq) order, and the state is dropped.  Spark drops rows behind the watermark before they get
+    here; ``jobs.split_late`` diverts them.
     """
     from daytrace.operators.sessions import APP
 
@@ -80,36 +81,39 @@ def stream_sessions(events: DataFrame, th: Thresholds) -> DataFrame:
             out.append(held)
         return (app, start, end, count, truncated, 1)
 
-    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    def sessions(rows):
         app, start, count, last = "", 0, 0, 0
         held, out = None, []
-        if state.exists:
-            app, start, count, last, h_app, h_start, h_end, h_count, h_cut, h_n = state.get
-            held = (h_app, h_start, h_end, h_count, h_cut, h_n) if h_app else None
+        for us, _, kind, name in sorted(rows, key=lambda r: r[:2]):
+            last = us
+            if kind == opens and name is not None:
+                if app != name:
+                    if app:
+                        held = finish(held, app, start, count, us, False, out)
+                    app, start, count = name, us, 0
+            elif kind in closers or (kind == same and name == app):
+                if app:
+                    held = finish(held, app, start, count, us, False, out)
+                app, start, count = "", 0, 0
+            elif kind == touch and app:
+                count += 1
+        if app:
+            held = finish(held, app, start, count, last, True, out)
+        return [*out, held] if held else out
+
+    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = [list(c) for c in state.get] if state.exists else [[], [], [], []]
+        out = []
         if state.hasTimedOut:
-            if app:
-                held = finish(held, app, start, count, last, True, out)
-            if held:
-                out.append(held)
+            out = sessions(zip(*held))
             state.remove()
         else:
-            rows = pd.concat(frames).sort_values(["us", "seq"])
-            for us, kind, name in zip(rows["us"], rows["type"], rows["key"]):
-                us = int(us)
-                last = us
-                if kind == opens and name is not None:
-                    if app != name:
-                        if app:
-                            held = finish(held, app, start, count, us, False, out)
-                        app, start, count = name, us, 0
-                elif kind in closers or (kind == same and name == app):
-                    if app:
-                        held = finish(held, app, start, count, us, False, out)
-                    app, start, count = "", 0, 0
-                elif kind == touch and app:
-                    count += 1
-            h = held or ("", 0, 0, 0, False, 0)
-            state.update((app, start, count, last, *h))
+            rows = pd.concat(frames)
+            held[0] += [int(x) for x in rows["us"]]
+            held[1] += [int(x) for x in rows["seq"]]
+            held[2] += [str(x) for x in rows["type"]]
+            held[3] += [None if pd.isna(x) else str(x) for x in rows["key"]]
+            state.update(tuple(held))
             state.setTimeoutTimestamp(int(rows["day_end_us"].iloc[0] // 1000))
         yield pd.DataFrame([(*key, *s) for s in out], columns=cols)
 
@@ -117,8 +121,7 @@ def stream_sessions(events: DataFrame, th: Thresholds) -> DataFrame:
         step,
         "user_id long, device_id int, local_date date, app_key string, start_us long, end_us long, "
         "interactions long, truncated boolean, merged_from long",
-        "app string, start long, count long, last long, h_app string, h_start long, h_end long, "
-        "h_count long, h_cut boolean, h_n long",
+        "us array<long>, seq array<long>, type array<string>, key array<string>",
         "append",
         "EventTimeTimeout",
     )
