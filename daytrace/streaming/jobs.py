@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from daytrace.config import US, USER_DAY
+from daytrace.config import US, USER_DAY, Thresholds
 from daytrace.operators import ingest as ing
 from daytrace.sources.tables import create_table, overwrite_days, stage
 
 EVENT_TABLE = "event_id string, device_id string, batch_id string, us bigint, type string, day date"
-BATCH_TABLE = "batch_id string, accepted boolean, events bigint, seq_to bigint"
+BATCH_TABLE = (
+    "batch_id string, accepted boolean, events bigint, seq_to bigint, delivery string, batch_device string, "
+    "arrival bigint, seq_from bigint, new_events bigint, duplicates bigint"
+)
+DIRTY_TABLE = "user_id bigint, local_date date, epoch bigint"
 
 
 def drain(df: DataFrame, name: str, path: str) -> DataFrame:
@@ -31,40 +35,68 @@ def drain(df: DataFrame, name: str, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
-def ingest_stream(batches: DataFrame, base: str, name: str = "ingest") -> StreamingQuery:
+def ingest_stream(batches: DataFrame, base: str, name: str = "ingest", day_start: int = 4) -> StreamingQuery:
     """Take wire batches from a stream into ``base``/events and ``base``/batches.
 
     A row is a whole batch (batch_id, batch_device, seq_from, seq_to, arrival, lines), so a batch is
-    judged as a whole wherever a micro-batch ends.  Batches in the ledger ``base``/batches are replays
-    and change nothing.  An event that several batches carry belongs to the one that arrived first.
+    judged as a whole wherever a micro-batch ends.  Batches accepted in the ledger ``base``/batches are
+    replays and change nothing.  A rejected delivery leaves its batch_id free: the first valid delivery
+    counts.  The ledger row is the receipt (new_events, duplicates, seq_to); ``cursors`` and ``gaps`` are
+    read from it.  User-days of new events are marked in ``base``/dirty, by the event's own offset from
+    UTC, days beginning at ``day_start``; the user is the part of the device before the colon.  An event that several batches carry belongs to the one that arrived first.
     Events are stored by day, and only the days that a micro-batch touches are read to drop those
     known.  Events are written before the ledger, and both only where not there yet, so a repeated
     micro-batch neither loses nor doubles rows.  ``name`` identifies the stream's checkpoint.
     """
     spark = batches.sparkSession
     create_table(spark, f"{base}/events", EVENT_TABLE, "day")
+    create_table(spark, f"{base}/dirty", DIRTY_TABLE, "epoch")
     spark.createDataFrame([], BATCH_TABLE).write.mode("ignore").parquet(f"{base}/batches")
 
     def take(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        ledger = spark.read.schema(BATCH_TABLE).parquet(f"{base}/batches").select("batch_id")
-        first = batch.groupBy("batch_id").agg(F.min_by(F.struct("*"), F.struct("arrival", "lines")).alias("b"))
-        fresh = first.select("b.*").join(ledger, "batch_id", "left_anti")
-        parsed = ing.parse_envelope(fresh.withColumn("line", F.explode("lines")).drop("lines")).persist()
-        verdicts = ing.batch_verdicts(parsed)
-        good = parsed.join(verdicts.filter("accepted").select("batch_id"), "batch_id", "left_semi")
-        event = F.struct("arrival", "batch_id", "e.device_id", "e.type")
+        ledger = spark.read.schema(BATCH_TABLE).parquet(f"{base}/batches")
+        done = ledger.filter("accepted").select("batch_id")
+        fresh = batch.withColumn("delivery", F.sha2(F.to_json(F.struct("*")), 256)).dropDuplicates(["delivery"])
+        fresh = fresh.join(done, "batch_id", "left_anti").withColumnRenamed("batch_id", "_batch")
+        fresh = fresh.withColumn("line", F.explode("lines")).drop("lines")
+        parsed = ing.parse_envelope(fresh.withColumn("batch_id", F.col("delivery"))).persist()
+        heads = parsed.groupBy("delivery").agg(*[F.first(c).alias(c) for c in ("_batch", "batch_device", "arrival")])
+        verdicts = ing.batch_verdicts(parsed).withColumnRenamed("batch_id", "delivery").join(heads, "delivery").persist()
+        valid = verdicts.filter("accepted").groupBy("_batch").agg(F.min(F.struct("arrival", "delivery")).alias("f"))
+        first = verdicts.join(valid.select("f.delivery"), "delivery", "left_semi")
+        good = parsed.join(first.select("delivery"), "delivery", "left_semi")
+        event = F.struct("arrival", F.col("_batch").alias("batch_id"), "e.device_id", "e.type", "e.tz_offset_min")
         rows = good.groupBy(F.col("e.event_id").alias("event_id"), (F.col("e.ts_utc") * 1000).alias("us")).agg(
             F.min(event).alias("v")
         )
         rows = rows.select(
-            "event_id", "v.device_id", "v.batch_id", "us", "v.type", F.to_date(F.timestamp_micros("us")).alias("day")
+            "event_id", "v.device_id", "v.batch_id", "us", "v.type", F.to_date(F.timestamp_micros("us")).alias("day"),
+            (F.col("us") + F.col("v.tz_offset_min") * (60 * US) - day_start * 3600 * US).alias("local_us"),
         ).persist()
         days = [r.day for r in rows.select("day").distinct().collect()]  # days, not events
-        known = spark.read.schema(EVENT_TABLE).parquet(f"{base}/events").filter(F.col("day").isin(days))
-        new = rows.join(known.select("event_id", "us"), ["event_id", "us"], "left_anti")
-        new.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(f"{base}/events")
-        verdicts.select("batch_id", "accepted", "events", "seq_to").write.mode("append").parquet(f"{base}/batches")
+        stored = spark.read.schema(EVENT_TABLE).parquet(f"{base}/events").filter(F.col("day").isin(days))
+        new = rows.join(stored.select("event_id", "us"), ["event_id", "us"], "left_anti")
+        touched = new.select(
+            F.substring_index("device_id", ":", 1).try_cast("long").alias("user_id"),
+            F.to_date(F.timestamp_micros("local_us")).alias("local_date"), F.lit(epoch).cast("long").alias("epoch"),
+        )
+        # marks come before events, so none is missing where a micro-batch stops between the two
+        touched.distinct().write.mode("append").partitionBy("epoch").parquet(f"{base}/dirty")
+        new.drop("local_us").hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(f"{base}/events")
+        stored = spark.read.schema(EVENT_TABLE).parquet(f"{base}/events").filter(F.col("day").isin(days))
+        own = rows.select("event_id", "us", "batch_id").join(stored, ["event_id", "us", "batch_id"], "left_semi")
+        own = own.groupBy(F.col("batch_id").alias("_batch")).agg(F.count("*").alias("new_events"))
+        told = ledger.filter(~F.col("accepted")).select("delivery")
+        refused = verdicts.filter(~F.col("accepted")).join(told, "delivery", "left_anti")
+        receipts = first.unionByName(refused).join(own, "_batch", "left").withColumn(
+            "new_events", F.when(F.col("accepted"), F.coalesce("new_events", F.lit(0)))
+        )
+        receipts.select(
+            F.col("_batch").alias("batch_id"), "accepted", "events", "seq_to", "delivery", "batch_device", "arrival",
+            "seq_from", "new_events", (F.col("events") - F.col("new_events")).alias("duplicates"),
+        ).write.mode("append").parquet(f"{base}/batches")
+        verdicts.unpersist()
         rows.unpersist()
         parsed.unpersist()
 
@@ -76,6 +108,24 @@ def ingest_stream(batches: DataFrame, base: str, name: str = "ingest") -> Stream
     )
 
 
+def accepted_batches(spark: SparkSession, base: str) -> DataFrame:
+    """The accepted batches of the ledger, for ``ingest.device_cursor`` and ``ingest.seq_gaps``."""
+    ledger = spark.read.schema(BATCH_TABLE).parquet(f"{base}/batches").filter("accepted")
+    user = F.substring_index("batch_device", ":", 1).try_cast("long")
+    return ledger.select(
+        user.alias("user_id"), F.col("batch_device").alias("device_id"), F.col("batch_id").alias("batch_no"),
+        "arrival", "seq_from", "seq_to",
+    )
+
+
+def cursors(spark: SparkSession, base: str) -> DataFrame:
+    return ing.device_cursor(accepted_batches(spark, base))
+
+
+def gaps(spark: SparkSession, base: str, th: Thresholds) -> DataFrame:
+    return ing.seq_gaps(accepted_batches(spark, base), th)
+
+
 def split_late(events: DataFrame, base: str, delay_s: int) -> StreamingQuery:
     """Take events (with us, user_id, local_date) from a stream into ``base``/on_time or ``base``/late.
 

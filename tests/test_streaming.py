@@ -1,12 +1,16 @@
 """Streams whose events come in several files, out of order and late."""
 
+import datetime as dt
+import json
 import uuid
 from collections import Counter
 
+from daytrace.config import Thresholds
 from daytrace.operators import sessions as se
 from daytrace.plans.stream_queries import sessions_of_stream
 from daytrace.sources import telemetry as tm
 from daytrace.sources.tables import checkpoint_dir
+from daytrace.streaming import jobs
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -28,3 +32,32 @@ def test_sessions_of_late_and_disordered_events(spark):
     assert Counter(map(str, got.collect())) == Counter(map(str, want.collect()))
     on_time = spark.read.parquet(f"{base}/run/on_time").count()
     assert on_time + spark.read.parquet(f"{base}/run/late").count() == ev.count()
+
+
+def _line(seq, ms=1_704_088_800_000, **more):
+    return json.dumps({
+        "event_id": str(seq), "device_id": "1:0", "seq": seq, "ts_utc": ms + seq * 1000, "tz_offset_min": 0, "tz_id": "UTC",
+        "clock_flags": None, "uptime_ms": 1, "type": "SCREEN_ON", "source": "android", "payload": {}, "schema_v": 1, **more,
+    })
+
+
+def test_a_rejected_batch_sent_again_is_taken_and_leaves_its_receipt(spark):
+    base = f"{checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    schema = "batch_id string, batch_device string, seq_from long, seq_to long, arrival long, lines array<string>"
+    files = [
+        [("a", "1:0", 1, 2, 10, [_line(1), "{broken"]), ("b", "1:0", 5, 6, 11, [_line(5), _line(6)])],
+        [("a", "1:0", 1, 2, 12, [_line(1), _line(2)]), ("c", "1:0", 7, 7, 13, ["no"]), ("c", "1:0", 7, 8, 14, [_line(6), _line(8)])],
+        [("a", "1:0", 1, 2, 15, [_line(1), _line(3)])],
+    ]
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    jobs.ingest_stream(stream, base).awaitTermination()
+    events = spark.read.schema(jobs.EVENT_TABLE).parquet(f"{base}/events").collect()
+    assert sorted((r.event_id, r.batch_id) for r in events) == [("1", "a"), ("2", "a"), ("5", "b"), ("6", "b"), ("8", "c")]
+    ledger = spark.read.schema(jobs.BATCH_TABLE).parquet(f"{base}/batches").filter("accepted").collect()
+    assert sorted((r.batch_id, r.new_events, r.duplicates, r.seq_to) for r in ledger) == [("a", 2, 0, 2), ("b", 2, 0, 6), ("c", 1, 1, 8)]
+    dirty = spark.read.schema(jobs.DIRTY_TABLE).parquet(f"{base}/dirty").select("user_id", "local_date").distinct().collect()
+    assert [tuple(r) for r in dirty] == [(1, dt.date(2024, 1, 1))]
+    assert [(r.last_seq, r.next_expected_seq) for r in jobs.cursors(spark, base).collect()] == [(8, 9)]
+    assert [(r.batch_no, r.expected_seq) for r in jobs.gaps(spark, base, Thresholds()).collect()] == [("b", 1)]
