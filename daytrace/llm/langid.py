@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +29,7 @@ def learn_dictionaries(
     """Raw-content dictionaries, one per language, from a bounded sample of labelled rows.
 
     For each of the (at most ``languages`` most frequent) labels, about 4 * dictionary_bytes / snippet
-    rows are drawn by a hash of ``row_key``; each gives ``snippet`` characters from a place that the hash
+    rows are drawn by a hash of ``row_key`` and text, never more than 8 * dictionary_bytes / snippet; each gives ``snippet`` characters from a place that the hash
     sets, and the first ``dictionary_bytes`` of them in hash order, in lower case, form the dictionary.
     That is all that reaches the driver.  Rows with a null or empty text or a null label teach nothing.
     """
@@ -38,7 +38,7 @@ def learn_dictionaries(
     if not len(counts):
         return {}
     rows = 4 * dictionary_bytes // snippet
-    draw = F.xxhash64(F.lit("sample"), F.col(row_key))
+    draw = F.xxhash64(F.lit("sample"), F.col(row_key), F.col(text))
     rate = F.lit(0.0)
     for label, n in zip(counts[lang], counts["count"]):
         rate = F.when(F.col(lang) == label, F.lit(min(1.0, rows / n))).otherwise(rate)
@@ -46,8 +46,10 @@ def learn_dictionaries(
     sample = (
         known.where(F.pmod(draw, F.lit(1 << 30)) < rate * (1 << 30))
         .select(F.col(lang).alias("lang"), draw.alias("draw"), F.substring(text, place.cast("int") + 1, F.lit(snippet)).alias("s"))
-        .toPandas()
     )
+    # the bound also holds where many rows are equal; it is applied before the shuffle and after it
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "s"))
+    sample = sample.withColumn("_n", first).where(F.col("_n") <= 2 * rows).drop("_n").toPandas()
     out = {}
     for label, part in sample.sort_values(["draw", "s"]).groupby("lang"):
         out[label] = "\n".join(part["s"]).lower().encode()[:dictionary_bytes]

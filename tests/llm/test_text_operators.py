@@ -215,6 +215,16 @@ def test_whole_texts_count(spark):
     assert langid.identify(docs, known, block=64).first().lang_pred == "aa"
 
 
+def test_labels_of_rows_without_or_with_one_id_are_learned(spark):
+    rows = [(None, f"alpha {i}", "aa") for i in range(3000)] + [(5, f"uno {i}", "bb") for i in range(3000)]
+    rows += [(None, "tres", "cc")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = langid.learn_dictionaries(docs, dictionary_bytes=1024, snippet=64)
+    # of 3000 rows a label about 64 are drawn one by one; equal rows all or none
+    assert {"aa", "bb"} <= set(known)
+    assert all(20 < known[k].count(b"\n") < 129 for k in ("aa", "bb"))
+
+
 # 7: mixing --------------------------------------------------------------------------------------
 
 
