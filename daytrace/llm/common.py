@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +30,18 @@ class Scratch:
         self.folder = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[int, tuple[DataFrame, str]] = {}
 
-    def put(self, df: DataFrame) -> DataFrame:
-        path = f"{self.folder}/{len(self.paths)}"
+    def free_shuffles(self, write: Callable[[], None]) -> None:
+        """Runs a write whose shuffle files go once it is complete."""
         before = self.spark.conf.get(FREE_SHUFFLES, "false")
         self.spark.conf.set(FREE_SHUFFLES, "true")
         try:
-            df.write.parquet(path)
+            write()
         finally:
             self.spark.conf.set(FREE_SHUFFLES, before)
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.paths)}"
+        self.free_shuffles(lambda: df.write.parquet(path))
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[len(self.paths)] = (out, path)
         return out

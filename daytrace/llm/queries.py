@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .codes import token_files
 from .common import Scratch, read
 from .langid import held_out, identify, learn_dictionaries
 from .lattice import link_vectors
@@ -13,10 +14,12 @@ from .lines import dedup_lines
 from .minhash import link_texts
 from .mixing import mix
 from .packing import pack
+from .phrases import collocations
 from .sharding import assign_shards
 from .tokens import count_tokens
 from .topk import top_k
 from .warc import read_archive, write_archive
+from .whitening import whiten
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -85,6 +88,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), TOKENIZER, steps=False)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors along their four leading components.  A deviation that exceeds 64 bits is null here;
+    the operator returns it as a decimal."""
+    out = whiten(read(spark, sf_dir, "embeddings"), Scratch(spark, "op11"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases that hold together best in each language."""
+    return collocations(read(spark, sf_dir, "documents"), Scratch(spark, "op12"))
+
+
+def op13_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids, written in directly addressable codes and read back."""
+    return token_files(read(spark, sf_dir, "documents"), TOKENIZER, Scratch(spark, "op13"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -98,6 +118,9 @@ QUERIES = {
         op8_line_dedup,
         op9_minhash_dedup,
         op10_token_counts,
+        op11_whitening,
+        op12_collocations,
+        op13_token_codes,
     )
 }
 
@@ -202,4 +225,30 @@ r as (select x, y from m union select r.x, m.y from r join m on r.y = m.x)
 select n.doc_id, any_value(n_shingles) as n_shingles, least(n.doc_id, coalesce(min(r.y), n.doc_id)) as component_id,
   n.doc_id = least(n.doc_id, coalesce(min(r.y), n.doc_id)) as kept
 from n left join r on r.x = n.doc_id group by n.doc_id""",
+    "op12_collocations": r"""
+with p as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p),
+n as (select lang, cast(sum(len(ws)) as bigint) as n from w group by lang),
+g as (
+  select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) as phrase
+  from w, (select unnest([1, 2, 3, 4]) as k) where len(ws) >= k),
+f as (select lang, k, phrase, cast(count(*) as bigint) as a from g group by all having count(*) >= 30),
+c as (
+  select f.*, j, array_to_string(string_split(phrase, ' ')[:j], ' ') as head, array_to_string(string_split(phrase, ' ')[j + 1:], ' ') as tail
+  from f, (select unnest([1, 2, 3]) as j) where j < k),
+s as (
+  select c.lang, c.phrase, c.k, c.a, min({'score': cast(cast(2000000 as hugeint) * c.a // (h.a + t.a) as bigint), 'j': j, 'l': h.a, 'r': t.a}) as cut
+  from c join f h on h.lang = c.lang and h.phrase = c.head join f t on t.lang = c.lang and t.phrase = c.tail group by all),
+i as (
+  select lang, a, array_to_string(string_split(phrase, ' ')[x:x + m - 1], ' ') as phrase
+  from f, (select unnest([2, 3]) as m), (select unnest([1, 2, 3]) as x) where m < k and x + m - 1 <= k),
+b as (select lang, phrase, max(a) as around from i group by all),
+r as (
+  select s.lang, row_number() over (partition by s.lang order by cut.score desc, s.a desc, s.phrase collate "binary") as rank,
+    s.phrase, s.a, cut.l as l, cut.r as r, cut.score as score
+  from s left join b on b.lang = s.lang and b.phrase = s.phrase where around is null or 100 * around < 80 * s.a)
+select r.lang, rank, phrase, a, l, r, n, score from r join n on n.lang = r.lang where rank <= 2000""",
 }
