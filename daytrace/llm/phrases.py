@@ -201,7 +201,7 @@ def frequent_phrases(
     they are shuffled.
     """
     blocks = scratch.put(word_blocks(docs, text, group))
-    totals = blocks.groupBy("grp").agg(F.sum("n_words").alias("n"))
+    totals = scratch.put(blocks.groupBy("grp").agg(F.sum("n_words").alias("n")))
     per_block = blocks.select("block", "grp", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "w"))
     per_block = per_block.select("block", "grp", "code", F.col("w.words").cast("string").alias("word"), F.col("w.counts").alias("n"))
     found = scratch.put(_frequent(per_block, ["word"], least))
@@ -210,6 +210,7 @@ def frequent_phrases(
     named = words.select("grp", "word", F.col("id").cast("int").alias("id"))
     codes = found.join(named, ["grp", "word"]).select("block", "code", "id")
     relation = scratch.put(_semi_join(blocks.select("block", "grp", "codes"), codes, _first_relation))
+    scratch.drop(blocks, found)
     levels = [words.select("grp", F.lit(1).alias("k"), F.col("word").alias("phrase"), "a")]
     # texts of the phrases of the last level, by their packed ids
     texts = words.select("grp", F.shiftleft(F.col("id"), 32).alias("key_0"), F.col("word").alias("phrase"))
@@ -233,8 +234,10 @@ def frequent_phrases(
         joined = joined.join(ids, F.col("_last") == F.col("_id"))
         texts = scratch.put(joined.select("grp", *keys, F.concat_ws(" ", "_prefix", "word").alias("phrase"), "a"))
         levels.append(texts.select("grp", F.lit(k + 1).alias("k"), "phrase", "a"))
+        last_relation = relation
         if k + 1 < longest:
             relation = scratch.put(_semi_join(relation, found.select("block", "code"), _next_relation(k)))
+        scratch.drop(last_relation, found)
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
