@@ -33,24 +33,30 @@ def attribute(sig: DataFrame, th: Thresholds, wake_bound_us: int | None = None)
     and forgets the state.
     """
     df = chunked(sig, KEYS, "us", th.chunk_s * US)
-    df = scan(df, KEYS, ["us", "seq"], next_us=("lead", F.col("us")))
-    silent = F.lit(False) if wake_bound_us is None else F.coalesce(
-        F.col("next_us") - F.col("us") > wake_bound_us, F.lit(False)
-    )
-    steps = F.when(silent, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    df = df.withColumn("step", F.explode(steps))
-    forget = F.col("step") == 1  # a state reset right after the last signal
     values = {
-        "domain": F.when(forget, "").when(F.col("kind") == "tab", F.coalesce("domain", F.lit(""))),
-        "focused": F.when(forget, False).when(F.col("kind") == "focus", F.col("focused")),
-        "active": F.when(forget, True).when(F.col("kind") == "idle", F.col("active")),
+        "domain": F.when(F.col("kind") == "tab", F.coalesce("domain", F.lit(""))),
+        "focused": F.when(F.col("kind") == "focus", F.col("focused")),
+        "active": F.when(F.col("kind") == "idle", F.col("active")),
     }
-    df = df.withColumns({f"v_{n}": v for n, v in values.items()}).drop("domain", "focused", "active")
-    specs = {}
+    specs = {"prev_us": ("before", F.col("us")), "next_us": ("lead", F.col("us"))}
+    for n, v in values.items():
+        at = F.when(v.isNotNull(), F.struct("us", "seq", v.alias("v")))
+        specs[f"now_{n}"] = ("last", at)
+        specs[f"was_{n}"] = ("before", at)
+    # an island is a stretch without a silence that forgets the state
+    awake = (lambda p, r: F.lit(True)) if wake_bound_us is None else (
+        lambda p, r: r["us"] - p["us"] <= wake_bound_us
+    )
+    df = scan(df, KEYS, ["us", "seq"], joins=awake, **specs).drop(CHUNK)
+    fresh = (F.col("island.us") == F.col("us")) & (F.col("island.seq") == F.col("seq"))
     for n in values:
-        specs[f"now_{n}"] = ("last", F.col(f"v_{n}"))
-        specs[f"was_{n}"] = ("before", F.col(f"v_{n}"))
-    df = scan(df, KEYS, ["us", "seq", "step"], **specs).drop(CHUNK)
+        now, was = F.col(f"now_{n}"), F.col(f"was_{n}")
+        known = F.struct(now["us"], now["seq"]) >= F.struct("island.us", "island.seq")
+        known_was = ~fresh & (F.struct(was["us"], was["seq"]) >= F.struct("island.us", "island.seq"))
+        df = df.withColumns({f"now_{n}": F.when(known, now["v"]), f"was_{n}": F.when(known_was, was["v"])})
+    slept = F.lit(False) if wake_bound_us is None else F.coalesce(
+        F.col("next_us") - F.col("us") > wake_bound_us, F.lit(False)
+    )
 
     def on(t: str):
         return (
@@ -68,6 +74,11 @@ def attribute(sig: DataFrame, th: Thresholds, wake_bound_us: int | None = None)
         on("now") & (~on("was") | moved),
         F.struct(F.lit("DOMAIN_FOCUS_START").alias("type"), F.col("now_domain").alias("domain")),
     )
-    return df.select(*KEYS, "us", F.explode(F.array_compact(F.array(end, start))).alias("e")).select(
+    # a long silence after the row ends what is on
+    cut = F.when(
+        slept & on("now"),
+        F.struct(F.lit("DOMAIN_FOCUS_END").alias("type"), F.col("now_domain").alias("domain")),
+    )
+    return df.select(*KEYS, "us", F.explode(F.array_compact(F.array(end, start, cut))).alias("e")).select(
         *KEYS, "us", "e.type", "e.domain"
     )

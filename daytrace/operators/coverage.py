@@ -116,13 +116,13 @@ def silent_intervals(silent: DataFrame) -> DataFrame:
 def coalesce_intervals(df: DataFrame, keys: list[str], th: Thresholds) -> DataFrame:
     """Join touching neighbours of the same state (start_us, end_us, state per key)."""
     df = chunked(df.select(*keys, "start_us", "end_us", "state"), keys, "start_us", th.chunk_s * US)
-    df = scan(df, keys, ["start_us"], p=("before", F.struct("end_us", "state")))
-    goes_on = (F.col("p.state") == F.col("state")) & (F.col("p.end_us") == F.col("start_us"))
-    df = df.withColumn("head", F.when(F.coalesce(goes_on, F.lit(False)), None).otherwise(F.col("start_us")))
-    df = scan(df.drop("p"), keys, ["start_us"], island=("last", F.col("head")))
-    return df.groupBy(*keys, "island", "state").agg(F.max("end_us").alias("end_us")).select(
-        *keys, F.col("island").alias("start_us"), "end_us", "state"
+    df = scan(
+        df, keys, ["start_us"], uses=("end_us", "state"),
+        joins=lambda p, r: (p["state"] == r["state"]) & (p["end_us"] == r["start_us"]),
     )
+    return df.groupBy(*keys, F.col("island.start_us").alias("start_us"), "state").agg(
+        F.max("end_us").alias("end_us")
+    ).select(*keys, "start_us", "end_us", "state")
 
 
 def coverage_ratio(cov: DataFrame, keys: list[str]) -> DataFrame:

@@ -57,3 +57,36 @@ def fold_groups(
         .sortWithinPartitions(*keys, *order)
         .mapInPandas(run, schema)
     )
+
+
+def fold_stream(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    uses: list[str],
+    fresh: Callable[[], object],
+    step: Callable[..., tuple],
+    new_columns: str,
+) -> DataFrame:
+    """Add columns computed row by row: ``step(state, *uses)`` returns their values and changes the
+    group's state, which ``fresh`` makes.  A task holds one batch and one state, however large a group is."""
+    added = T.StructType.fromDDL(new_columns)
+    schema = T.StructType(df.schema.fields + added.fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: tuple | None = None
+        state: object = None
+        for batch in batches:
+            out = []
+            for key, row in zip(zip(*(batch[k] for k in keys)), zip(*(batch[c].tolist() for c in uses))):
+                if key != last:
+                    last, state = key, fresh()
+                out.append(step(state, *row))
+            columns = zip(*out) if out else [()] * len(added)
+            yield batch.assign(**{f.name: list(c) for f, c in zip(added, columns)})
+
+    return (
+        df.repartition(*keys)
+        .sortWithinPartitions(*keys, *order)
+        .mapInPandas(run, schema)
+    )

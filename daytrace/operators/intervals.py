@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from daytrace.config import US, USER_DAY, Thresholds
-from daytrace.operators.fold import fold_groups
+from daytrace.operators.fold import fold_stream
 from daytrace.operators.scan import chunked, scan
 
 
@@ -66,56 +66,59 @@ def overlap_sweep(spans: DataFrame, keys: list[str], th: Thresholds) -> DataFram
     )
 
 
-def _assign(rows, gap: int):
-    """Cluster number per row of one island: the first cluster with a member on another device
-    that overlaps or lies within the gap, else a new one."""
-    clusters: list[list[tuple]] = []
-    out = []
-    for device, start, end in zip(rows["device_id"], rows["start_us"], rows["end_us"]):
-        for number, members in enumerate(clusters):
-            if any(d != device and start - e <= gap for d, e in members):
-                members.append((device, end))
-                out.append(number)
-                break
+class _Frontier:
+    """The clusters of one category that a later session can still join, in the order of their numbers.
+
+    Whether a session fits needs two facts of a cluster: its latest end, and the latest end on any
+    device but that one's.  A cluster whose latest end lies more than the gap back is closed for good.
+    A session opens a cluster only if no open one has a fitting member on another device, so the open
+    ones that would not take the next session are those of a single device.
+    """
+
+    def __init__(self) -> None:
+        self.island = 0  # start of the first session since the frontier was last empty
+        self.count = 0
+        self.open: list[list] = []  # [number, latest end, its device, latest end elsewhere or None]
+
+    def place(self, gap: int, device: int, start: int, end: int) -> tuple[int, int]:
+        self.open = [c for c in self.open if c[1] >= start - gap]
+        if not self.open:
+            self.island, self.count = start, 0
+        ends = ((c, c[1] if c[2] != device else c[3]) for c in self.open)
+        home = next((c for c, e in ends if e is not None and e >= start - gap), None)
+        if home is None:
+            self.open.append([self.count, end, device, None])
+            self.count += 1
+            return self.island, self.count - 1
+        _, latest, on, elsewhere = home
+        if device == on:
+            home[1] = max(latest, end)
+        elif end > latest:
+            home[1:] = [end, device, latest]
         else:
-            clusters.append([(device, end)])
-            out.append(len(clusters) - 1)
-    return out
+            home[3] = end if elsewhere is None else max(elsewhere, end)
+        return self.island, home[0]
 
 
 def cluster_cross_device(classified: DataFrame, th: Thresholds) -> DataFrame:
-    """Add ``cluster`` to classified sessions: same category on different devices, overlapping
-    or nearly touching.
+    """Add ``island`` and ``cluster`` to classified sessions: same category on different devices,
+    overlapping or nearly touching.
 
-    A session that starts more than the gap after everything before it cannot join an earlier
-    cluster, so each (user, day, category) is cut into islands first.  Only islands with
-    several devices need the ordered assignment; in the others every session stands alone.
+    Sessions of a (user, day, category) are taken in order; each joins the first cluster with a member
+    on another device that overlaps it or ended at most the gap before.  A session that starts more than
+    the gap after everything before it begins an island, and numbers start anew.  A task keeps the open
+    clusters only.
     """
     gap = th.cluster_gap_s * US
-    keys = [*USER_DAY, "category"]
-    w = Window.partitionBy(*keys).orderBy("start_us", "device_id")
-    reach = F.max("end_us").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    apart = F.col("start_us") - reach > gap
-    df = classified.withColumn("head", F.when(F.coalesce(apart, F.lit(True)), F.col("start_us")))
-    df = df.withColumn("island", F.max("head").over(w)).drop("head")
-    island = Window.partitionBy(*keys, "island")
-    df = df.withColumn("mixed", F.min("device_id").over(island) != F.max("device_id").over(island))
-    alone = df.filter(~F.col("mixed")).withColumn(
-        "cluster",
-        F.row_number().over(
-            Window.partitionBy(*keys, "island").orderBy("start_us", "device_id")
-        ).cast("long")
-        - 1,
-    )
-    mixed = fold_groups(
-        df.filter("mixed"),
-        [*keys, "island"],
+    return fold_stream(
+        classified,
+        [*USER_DAY, "category"],
         ["start_us", "device_id"],
         ["device_id", "start_us", "end_us"],
-        lambda rows: {"cluster": _assign(rows, gap)},
-        "cluster long",
+        _Frontier,
+        lambda frontier, *row: frontier.place(gap, *row),
+        "island long, cluster long",
     )
-    return alone.unionByName(mixed).drop("mixed")
 
 
 def activities(clustered: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -40,7 +41,9 @@ DWELL = SessionRule(
 )
 
 
-def _opens(events: DataFrame, rule: SessionRule, th: Thresholds, hard: Column) -> DataFrame:
+def _opens(
+    events: DataFrame, rule: SessionRule, th: Thresholds, hard: Column, constant: tuple[str, ...] = ()
+) -> DataFrame:
     """One row per opening event with what happened before the next opening:
     ``closer_us`` (first hard closer), ``interactions`` and ``last_soft_us`` (newest
     same-key closing event), both counted only before that closer.
@@ -50,13 +53,13 @@ def _opens(events: DataFrame, rule: SessionRule, th: Thresholds, hard: Column) -
     """
     opening = (F.col("type") == rule.opens) & F.col("key").isNotNull()
     ev = chunked(
-        events.select(*DEVICE_DAY, "us", "seq", "type", "key"), DEVICE_DAY, "us", th.chunk_s * US
+        events.select(*DEVICE_DAY, *constant, "us", "seq", "type", "key"), DEVICE_DAY, "us", th.chunk_s * US
     )
-    ev = ev.filter(F.col("type").isin(rule.types))
     ev = scan(
         ev,
         DEVICE_DAY,
         ["us", "seq"],
+        last_us=("all_max", F.col("us")),
         o=(
             "last",
             F.when(
@@ -68,9 +71,8 @@ def _opens(events: DataFrame, rule: SessionRule, th: Thresholds, hard: Column) -
                 ),
             ),
         ),
-    ).filter("o is not null").select("*", "o.*").drop("o")
+    ).filter(F.col("o").isNotNull() & F.col("type").isin(rule.types)).select("*", "o.*").drop("o")
 
-    group = [*DEVICE_DAY, "app_key", "o_us", "o_seq"]
     in_chunk = Window.partitionBy(*DEVICE_DAY, CHUNK, "o_us", "o_seq").orderBy("us", "seq")
     ev = ev.withColumn("soft", (F.col("type") == rule.closes_same) & F.col("key").eqNullSafe(F.col("app_key")))
     ev = ev.withColumn("hard", hard)
@@ -82,12 +84,16 @@ def _opens(events: DataFrame, rule: SessionRule, th: Thresholds, hard: Column) -
         ),
     )
     counted = F.col("live") & (F.col("type") == F.lit(rule.interaction))
-    per_chunk = ev.groupBy(*group, CHUNK).agg(
+    opening = [*DEVICE_DAY, *constant, "app_key", "o_us", "o_seq", "last_us"]
+    per_chunk = ev.groupBy(*opening, CHUNK).agg(
         F.min(F.when(F.col("hard"), F.col("us"))).alias("closer_us"),
         F.count_if(F.coalesce(counted, F.lit(False))).alias("interactions"),
         F.max(F.when(F.col("live") & F.col("soft"), F.col("us"))).alias("last_soft_us"),
     )
-    earlier = Window.partitionBy(*group).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    # the chunk of the opening places its rows for all that follows
+    per_chunk = chunked(per_chunk.withColumnRenamed(CHUNK, "_of"), DEVICE_DAY, "o_us", th.chunk_s * US)
+    group = [*opening, CHUNK]
+    earlier = Window.partitionBy(*group).orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
     open_chunk = F.count("closer_us").over(earlier) == 0
     return (
         per_chunk.withColumn("open_chunk", open_chunk)
@@ -100,45 +106,39 @@ def _opens(events: DataFrame, rule: SessionRule, th: Thresholds, hard: Column) -
     )
 
 
-def _chained(opens: DataFrame, th: Thresholds, continues: Column) -> DataFrame:
-    """Join openings into raw sessions.  ``continues`` says, given the previous opening ``p``,
-    that an opening goes on with its session; ``next_us`` is the next session's start."""
-    order = ["o_us", "o_seq"]
-    opens = chunked(opens, DEVICE_DAY, "o_us", th.chunk_s * US)
-    opens = scan(
+def _chained(opens: DataFrame, continues: Callable[[Column, Column], Column]) -> DataFrame:
+    """Join openings into raw sessions ``s``.  ``continues`` says, given the previous opening and one,
+    that this goes on with its session; ``next_us`` is the next session's start."""
+    out = scan(
         opens,
         DEVICE_DAY,
-        order,
-        p=("before", F.struct("app_key", "closer_us", "last_soft_us")),
-    )
-    first = ~F.coalesce(continues, F.lit(False))
-    opens = opens.withColumn("first", first).drop("p")
-    return scan(
-        opens,
-        DEVICE_DAY,
-        order,
-        s=("last", F.when(F.col("first"), F.struct("o_us", "o_seq"))),
-        next_us=("after", F.when(F.col("first"), F.col("o_us"))),
+        ["o_us", "o_seq"],
+        joins=continues,
+        uses=("app_key", "closer_us", "last_soft_us"),
+        next_island=True,
     )
+    return out.withColumn("next_us", F.col("next_island.o_us")).withColumnRenamed("island", "s")
 
 
-def _sessions(events: DataFrame, rule: SessionRule, th: Thresholds) -> DataFrame:
+def _sessions(
+    events: DataFrame, rule: SessionRule, th: Thresholds, constant: tuple[str, ...] = ()
+) -> DataFrame:
+    """Sessions of a rule; columns ``constant`` are the same for all events of a device."""
     any_closer = F.col("type").isin(list(rule.closes_any)) if rule.closes_any else F.lit(False)
-    opens = _opens(events, rule, th, hard=any_closer | F.col("soft"))
-    continues = (F.col("p.app_key") == F.col("app_key")) & F.col("p.closer_us").isNull()
+    opens = _opens(events, rule, th, hard=any_closer | F.col("soft"), constant=constant)
     raw = (
-        _chained(opens, th, continues)
-        .groupBy(*DEVICE_DAY, "s", "app_key")
+        _chained(opens, lambda p, o: (p["app_key"] == o["app_key"]) & p["closer_us"].isNull())
+        .groupBy(*DEVICE_DAY, *constant, "s", "app_key")
         .agg(
             F.max("closer_us").alias("closer_us"),
             F.max("next_us").alias("next_us"),
             F.sum("interactions").alias("interactions"),
+            F.max("last_us").alias("last_us"),
         )
     )
-    last = events.groupBy(*DEVICE_DAY).agg(F.max("us").alias("last_us"))
-    raw = raw.join(last, DEVICE_DAY)
     raw = raw.select(
         *DEVICE_DAY,
+        *constant,
         "app_key",
         F.col("s.o_us").alias("start_us"),
         F.coalesce("closer_us", "next_us", "last_us").alias("found_end"),
@@ -148,16 +148,17 @@ def _sessions(events: DataFrame, rule: SessionRule, th: Thresholds) -> DataFrame
     cap = F.col("start_us") + th.max_session_s * US
     raw = raw.select(
         *DEVICE_DAY,
+        *constant,
         "app_key",
         "start_us",
         F.least("found_end", cap).alias("end_us"),
         ((F.col("found_end") > cap) | F.col("open_end")).alias("truncated"),
         "interactions",
     ).filter(F.col("end_us") - F.col("start_us") >= th.min_session_s * US)
-    return _merge_bounces(raw, th)
+    return _merge_bounces(raw, th, constant)
 
 
-def _merge_bounces(raw: DataFrame, th: Thresholds) -> DataFrame:
+def _merge_bounces(raw: DataFrame, th: Thresholds, constant: tuple[str, ...]) -> DataFrame:
     """Join same-key neighbours with a short gap.  Sessions of a device do not overlap and
     last at least ``min_session_s``, so a device-day holds at most day / min_session rows and
     a plain window is bounded."""
@@ -168,7 +169,7 @@ def _merge_bounces(raw: DataFrame, th: Thresholds) -> DataFrame:
     return (
         raw.withColumn("new", F.when(joins, 0).otherwise(1))
         .withColumn("grp", F.sum("new").over(w))
-        .groupBy(*DEVICE_DAY, "grp", "app_key")
+        .groupBy(*DEVICE_DAY, *constant, "grp", "app_key")
         .agg(
             F.min("start_us").alias("start_us"),
             F.max("end_us").alias("end_us"),
@@ -187,19 +188,19 @@ def app_sessions(events: DataFrame, th: Thresholds) -> DataFrame:
 
 def browser_sessions(events: DataFrame, th: Thresholds) -> DataFrame:
     """Sessions of browser domains per device-day; ``app_key`` holds the domain."""
-    return _sessions(events, BROWSER, th).drop("interactions")
+    return _sessions(events, BROWSER, th, ("browser_family",)).drop("interactions")
 
 
 def app_dwells(events: DataFrame, th: Thresholds, now_us: Column) -> DataFrame:
     """Dwells with no minimum length: leaving an app and coming back within the merge gap
     keeps the dwell open.  ``now_us`` ends a dwell that is still open."""
     opens = _opens(events, DWELL, th, hard=F.col("type").isin(list(DWELL.closes_any)))
-    continues = (
-        (F.col("p.app_key") == F.col("app_key"))
-        & F.col("p.closer_us").isNull()
-        & (F.col("o_us") - F.col("p.last_soft_us") <= th.merge_gap_s * US)
-    )
-    chained = _chained(opens, th, continues)
+
+    def continues(p, o):
+        soon = o["o_us"] - p["last_soft_us"] <= th.merge_gap_s * US
+        return (p["app_key"] == o["app_key"]) & p["closer_us"].isNull() & soon
+
+    chained = _chained(opens, continues)
     # the last opening of a dwell decides how it ends
     tail = F.max_by(
         F.struct("last_soft_us", "closer_us", "next_us"), F.struct("o_us", "o_seq")

@@ -21,7 +21,7 @@ query("c1_app_sessions", f"""SELECT user_id, device_id, {DAY}, app_key, start_us
   truncated, merged_from FROM app_sessions""")(lambda c: c.plan.app_sessions)
 
 query("c2_browser_sessions", f"""SELECT user_id, device_id, {DAY}, app_key, start_us, end_us, truncated,
-  merged_from FROM web_sessions""")(lambda c: c.plan.browser_sessions)
+  merged_from FROM web_sessions""")(lambda c: c.plan.browser_sessions.drop("browser_family"))
 
 query("c3_coverage_intervals", f"SELECT user_id, device_id, {DAY}, start_us, end_us, state FROM coverage")(
     lambda c: c.plan.coverage

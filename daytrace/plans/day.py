@@ -62,10 +62,7 @@ class DayPlan:
 
     @cached_property
     def arbitrated(self) -> DataFrame:
-        families = self.browser_events.groupBy("user_id", "device_id").agg(
-            F.min("browser_family").alias("browser_family")
-        )
-        return iv.arbitrate(self.browser_sessions.join(families, ["user_id", "device_id"]))
+        return stage(iv.arbitrate(self.browser_sessions))
 
     @cached_property
     def _app_keyed(self) -> DataFrame:
@@ -131,7 +128,7 @@ class DayPlan:
     # coverage -----------------------------------------------------------------------
     @cached_property
     def states(self) -> DataFrame:
-        return cov.signal_states(self.phone_events, self.th)
+        return stage(cov.signal_states(self.phone_events, self.th))
 
     @cached_property
     def coverage(self) -> DataFrame:
@@ -148,7 +145,7 @@ class DayPlan:
     @cached_property
     def virtual_coverage(self) -> DataFrame:
         """Arbitrated browser time as observed coverage of one virtual device."""
-        return self.classified.filter("platform = 'browser'").select(
+        return self.arbitrated.select(
             *USER_DAY, "start_us", "end_us", F.lit(cov.TRACKED).alias("state")
         )
 

@@ -127,6 +127,67 @@ def test_clusters_match_brute_force(spark):
         assert sorted(sorted(g) for g in groups.values()) == brute_clusters(items, TH.cluster_gap_s)
 
 
+def test_clusters_of_thousands_of_devices(spark):
+    rng = random.Random(9)
+    items = [("writing", "a", s, s + rng.randrange(10, 2000), dev) for dev in range(3000) for s in [rng.randrange(0, 80000, 10)]]
+    got = iv.cluster_cross_device(timeline(spark, [(DAYS[0], items)]), TH).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault((r.island, r.cluster), []).append((r.start_us // 10**6, r.device_id))
+    assert sorted(sorted(g) for g in groups.values()) == brute_clusters(items, TH.cluster_gap_s)
+
+
+def block_at(rows, i, th):
+    """The block that begins at row i by its definition, and the place behind it; None if it is none."""
+    own = [k for k in range(i, len(rows)) if rows[k][0] == rows[i][0]]
+    foreign = [k for k in range(i + 1, len(rows)) if rows[k][0] != rows[i][0]]
+
+    def length(k):
+        return rows[k][3] - rows[k][2]
+
+    def ends(q):
+        k = foreign[q]
+        short = rows[k][0] == "communication" or length(k) < th.interruption_max_s
+        soon = q > 0 and rows[k][2] - rows[foreign[q - 1]][2] < th.interruption_cluster_s
+        return not short or length(k) > th.tolerance_s or soon
+
+    stop = next((foreign[q] for q in range(len(foreign)) if ends(q)), len(rows))
+    own = [k for k in own if k < stop]
+    breaks = sum(k < stop for k in foreign)
+    span, work = rows[own[-1]][3] - rows[i][2], sum(map(length, own))
+    tools = sum(rows[a][1] != rows[b][1] for a, b in zip(own, own[1:]))
+    if span < th.focus_min_s or breaks > max(1, span / th.per_interruption_s) or work / span < th.focus_min_ratio:
+        return None
+    deep = span >= th.deep_min_s and breaks <= 1 and work / span >= th.deep_min_ratio
+    deep = deep and tools / (span / 3600) <= th.deep_max_switch_rate and rows[i][0] in ("writing", "development")
+    return (rows[i][0], rows[i][2], rows[own[-1]][3], breaks, tools, deep), stop
+
+
+def test_focus_matches_brute_force(spark):
+    rng, days, want = random.Random(11), [], []
+    for n, day in enumerate(DAYS):
+        rows, t, at = [], 0, 0
+        for _ in range(150):
+            t += rng.choice([0, 0, 5, 60, 200])
+            cat = rng.choice(["writing"] * 4 + ["development", "social", "communication"])
+            rows.append((cat, rng.choice("ab"), t, t + rng.choice([20, 60, 80, 100, 400, 1500]), len(rows) % (1, 4, 1)[n % 3]))
+            t = rows[-1][3] if n % 3 != 1 else t + rng.choice([1, 50, 300])
+        days.append((day, rows))
+        while at < len(rows):
+            found = block_at(rows, at, TH)
+            if found:
+                want.append((day, *found[0]))
+            at = found[1] if found else at + 1
+    got = fo.focus_sessions(timeline(spark, days), TH).collect()
+    got = [(r.local_date, r.category, r.start_us // 10**6, r.end_us // 10**6, r.interruptions, r.tool_switches, r.is_deep) for r in got]
+    assert sorted(got) == sorted(want) and len(want) > 20
+
+
+def test_focus_runs_in_the_jvm(spark):
+    plan = fo.focus_sessions(one(spark, [("writing", "w", 0, 20 * MIN)]), TH)
+    assert "Python" not in plan._jdf.queryExecution().toString() and "InPandas" not in plan._jdf.queryExecution().toString()
+
+
 def test_followed_by_work_matches_brute_force(spark):
     rng, data, want = random.Random(5), [], {}
     apps = {"m": "entertainment", "d": "development", "w": "writing", "s": "social"}
