@@ -85,5 +85,8 @@ class Thresholds:
         )
 
 
+# Days that the server keeps raw events, and sessions and audit rows.
+RAW_DAYS, SESSION_DAYS = 180, 730
+
 DEVICE_DAY = ["user_id", "device_id", "local_date"]
 USER_DAY = ["user_id", "local_date"]

@@ -119,6 +119,32 @@ def receipts(events: DataFrame) -> DataFrame:
     )
 
 
+def delivery_answers(deliveries: DataFrame, ledger: DataFrame) -> DataFrame:
+    """What each delivery (batch_id, delivery) is told.  The ledger has one accepted row per stored batch, its
+    receipt, with the ``delivery`` that counted: that delivery and every replay of the batch get this
+    receipt.  Other deliveries are told their own rejection."""
+    stored = ledger.filter("accepted").select(
+        "batch_id", F.col("delivery").alias("_first"), F.lit(True).alias("accepted"), "new_events", "duplicates",
+        (F.col("seq_to") + 1).alias("next_expected_seq"),
+    )
+    return (
+        deliveries.select("batch_id", "delivery")
+        .join(stored, "batch_id", "left")
+        .select(
+            "batch_id", "delivery", F.coalesce(F.col("delivery") != F.col("_first"), F.lit(False)).alias("is_replay"),
+            F.coalesce("accepted", F.lit(False)).alias("accepted"), "new_events", "duplicates", "next_expected_seq",
+        )
+    )
+
+
+def replay_receipts(deliveries: DataFrame, ledger: DataFrame, stored: DataFrame) -> DataFrame:
+    """Deliveries marked as by ``first_deliveries``, each with the receipt ``stored`` (batch_id, accepted,
+    duplicates, next_expected_seq) for its batch: a replay is told what the first delivery was told."""
+    return first_deliveries(deliveries, ledger).join(
+        stored.select("batch_id", "accepted", "duplicates", "next_expected_seq"), "batch_id", "left"
+    )
+
+
 def event_uuid(device: Column, package: Column, ms: Column, type_: Column) -> Column:
     """Name-based (MD5) UUID of ``device|package|ms|type``."""
     h = F.md5(F.concat_ws("|", device.cast("string"), package, ms.cast("string"), type_).cast("binary"))
@@ -173,11 +199,6 @@ def shape_payload(type_: Column, package: Column) -> Column:
     return F.when(keep & package.isNotNull(), F.create_map(F.lit("package"), package)).otherwise(empty)
 
 
-def retained(events: DataFrame, us: str, as_of_us: int, keep_days: int) -> DataFrame:
-    """Rows younger than the retention of their table."""
-    return events.filter(F.col(us) >= as_of_us - keep_days * 86400 * US)
-
-
 def local_prunable(synced: Column, synced_us: Column, as_of_us: int, keep_days: int = 7) -> Column:
     """Synced rows past local retention; unsynced rows never qualify."""
     return synced & (synced_us < as_of_us - keep_days * 86400 * US)

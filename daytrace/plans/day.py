@@ -3,6 +3,7 @@ daily metrics, for all user-days at once."""
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -16,6 +17,7 @@ from daytrace.operators import intervals as iv
 from daytrace.operators import metrics as me
 from daytrace.operators import patterns as pa
 from daytrace.operators import sessions as se
+from daytrace.sources.store import SLACK
 from daytrace.sources.tables import stage
 
 
@@ -32,9 +34,20 @@ class DayPlan:
         rules: DataFrame | None = None,
         learned: DataFrame | None = None,
         enrolled: DataFrame | None = None,
+        days: tuple[dt.date, dt.date] | None = None,
     ) -> None:
-        """``enrolled`` (phones: user_id, device_id, tz, day_start_hour, first_date, last_date) adds the
+        """``days`` keeps the local days from the first to the last, both included; the filter reaches the
+        partitions of a stored event table (``sources.store``).  ``enrolled`` (phones: user_id, device_id, tz, day_start_hour, first_date, last_date) adds the
         device-days without events, which are unobserved from end to end."""
+        if days is not None:
+            inside = F.col("local_date").between(F.lit(days[0]), F.lit(days[1]))
+            events = events.filter(inside)
+            if "day" in events.columns:
+                events = events.filter(F.col("day").between(F.lit(days[0] - SLACK), F.lit(days[1] + SLACK)))
+            if enrolled is not None:
+                enrolled = enrolled.withColumns({
+                    "first_date": F.greatest("first_date", F.lit(days[0])), "last_date": F.least("last_date", F.lit(days[1])),
+                })
         self.events = events
         self.seeds = seeds
         self.domain_seeds = domain_seeds if domain_seeds is not None else seeds

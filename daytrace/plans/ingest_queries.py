@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import functions as F
 
 from daytrace import catalog
@@ -15,6 +18,7 @@ from daytrace.plans.registry import query
 from daytrace.sources import tables
 from daytrace.sources import telemetry as tm
 from daytrace.sources import wire
+from daytrace.sources.store import EventStore, retire
 
 DAY = "CAST(local_date AS VARCHAR) AS local_date"
 AS_OF = 1706659200 * US  # 2024-01-31 00:00 UTC, the sample's end
@@ -50,6 +54,22 @@ def _(c):
     )
 
 
+@query("a1_day_range", f"""SELECT user_id, device_id, {DAY}, seq, us FROM ev
+ WHERE local_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-19'""")
+def _(c):
+    """Ten local days from the events stored by day and user bucket; other partitions are not opened."""
+    store = event_store(c, c.events)
+    return store.read((dt.date(2024, 1, 10), dt.date(2024, 1, 19))).select(*DEVICE_DAY, "seq", "us")
+
+
+def event_store(c, events):
+    """A new store with these events."""
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema.fields)
+    store = EventStore(c.spark, f"{tables.checkpoint_dir(c.spark)}/events-{uuid.uuid4().hex}", fields)
+    store.append(events)
+    return store
+
+
 query("a2_envelope_validate", "SELECT seq, reasons FROM wire_r")(
     lambda c: ing.parse_envelope(wire.wire_events(c.events)).select("seq", "reasons")
 )
@@ -67,6 +87,19 @@ FROM bat, (VALUES (1::BIGINT), (2)) t(attempt) WHERE attempt = 1 OR batch_no % 4
         "batch_id", "attempt", "arrival", "is_replay"
     )
 )
+query("a4_replay_receipt", """
+SELECT d.batch_id, attempt, attempt = 2 OR batch_no % 10 = 0 AS is_replay, coalesce(a, 0) AS accepted, sent - coalesce(a, 0) AS duplicates,
+  batch_no * 100 + 100 AS next_expected_seq
+FROM (SELECT * FROM bat, (VALUES (1), (2)) t(attempt) WHERE attempt = 1 OR batch_no % 4 = 1) d
+LEFT JOIN (SELECT user_id, device_id, no, count(*) AS sent FROM sends GROUP BY ALL) s ON s.user_id = d.user_id AND s.device_id = d.device_id AND s.no = d.batch_no
+LEFT JOIN (SELECT user_id, device_id, no, count(*) AS a FROM firsts GROUP BY ALL) f ON f.user_id = d.user_id AND f.device_id = d.device_id AND f.no = d.batch_no""")(
+    lambda c: ing.replay_receipts(
+        wire.deliveries(c.events), wire.ledger(c.events),
+        ing.receipts(wire.resent_events(c.events)).withColumn(
+            "batch_id", F.concat_ws(":", "batch_no.user_id", "batch_no.device_id", "batch_no.no")
+        ),
+    ).select("batch_id", "attempt", "is_replay", "accepted", "duplicates", "next_expected_seq")
+)
 query("a5_event_dedupe", "SELECT event_id, us, no AS batch_no, copies FROM firsts")(
     lambda c: ing.dedupe_events(wire.resent_events(c.events)).withColumn("batch_no", F.col("batch_no.no"))
 )
@@ -141,8 +174,6 @@ query("a12_payload_shape", """SELECT seq, CASE WHEN type IN ('APP_FOREGROUND','A
 @query("a13_window_rewrite_sink", f"SELECT user_id, {DAY}, count(*) AS events, 2 AS run FROM ev GROUP BY user_id, local_date")
 def _(c):
     """Write all user-days, then rewrite them by a second run; the table holds each day once."""
-    import uuid
-
     path = f"{tables.checkpoint_dir(c.spark)}/user_days-{uuid.uuid4().hex}"
     days = c.events.groupBy(*USER_DAY).agg(F.count(F.lit(1)).alias("events"))
     for run in (1, 2):
@@ -186,6 +217,16 @@ def _(c):
     )
 
 
+@query("a15_partition_drop", f"""SELECT user_id, device_id, seq FROM ev
+ WHERE CAST(make_timestamp(us) AS DATE) >= CAST(make_timestamp({AS_OF}) AS DATE) - 20 OR k >= 80""")
+def _(c):
+    """Days older than 20 dropped from a stored event table; rows not synced yet (k from 80 on) outlive them."""
+    store = event_store(c, c.events.select(*DEVICE_DAY, "us", "seq", "k"))
+    oldest = (dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=AS_OF)).date() - dt.timedelta(days=20)
+    retire(c.spark, store.path, "day", oldest, needed=F.col("k") >= 80)
+    return store.all().select("user_id", "device_id", "seq")
+
+
 @query("a16_pending_queue_counts", """SELECT user_id, device_id, count(*) AS events, count(CASE WHEN k >= 60 THEN 1 END) AS unsynced,
  count(CASE WHEN k >= 85 THEN 1 END) AS eligible,
  count(DISTINCT CASE WHEN k < 85 AND (seq // 100) % 5 <> 0 THEN seq // 100 END) AS batches_pending,

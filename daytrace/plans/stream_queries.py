@@ -16,7 +16,8 @@ from daytrace.plans.oracle import part
 from daytrace.plans.registry import query
 from daytrace.sources import telemetry as tm
 from daytrace.sources import wire
-from daytrace.sources.tables import checkpoint_dir, overwrite_days
+from daytrace.sources.store import DerivedTable, EventStore, MarkQueue, recompute
+from daytrace.sources.tables import checkpoint_dir
 from daytrace.streaming import jobs, state
 
 DAY = "CAST(local_date AS VARCHAR) AS local_date"
@@ -82,15 +83,16 @@ def _(c):
     schema = c.spark.read.parquet(f"{base}/lines").schema
     for run in ("first", "again"):
         lines = c.spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/lines")
-        jobs.ingest_stream(lines, base, run).awaitTermination()
-    return c.spark.read.schema(jobs.EVENT_TABLE).parquet(f"{base}/events").select("event_id", "batch_id")
+        jobs.ingest_stream(lines, base, wire.device_owners(c.events), run).awaitTermination()
+    return jobs.ingested(c.spark, base)[0].all().select("event_id", "batch_id")
 
 
 @query("s4_late_recompute", f"""SELECT user_id, {DAY}, category, sum(end_us - start_us)::BIGINT AS total_us, count(*) AS sessions
  FROM classified_apps GROUP BY user_id, local_date, category""")
 def _(c):
-    """Build the days without their late events, then rebuild only the days those touch."""
-    path = f"{fresh(c)}/totals"
+    """Build the days without their late events, then rebuild only the days those touch, from the events
+    stored by day and user bucket."""
+    path = fresh(c)
 
     def build(ev):
         plan = DayPlan(ev, c.plan.seeds, tm.SAMPLE, rules=c.plan.rules, learned=c.plan.learned)
@@ -99,12 +101,17 @@ def _(c):
         )
 
     late = F.col("k") == 50
-    overwrite_days(build(c.events.filter(~late)), path)
-    dirty = c.events.filter(late).select(*USER_DAY).distinct()
-    jobs.recompute_dirty(c.events, dirty, build, path)
-    return c.spark.read.schema(
-        "user_id bigint, category string, total_us bigint, sessions bigint, local_date date"
-    ).parquet(path)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in c.events.schema.fields)
+    events, queue = EventStore(c.spark, f"{path}/events", fields), MarkQueue(c.spark, f"{path}/dirty")
+    totals = DerivedTable(
+        c.spark, f"{path}/totals", "user_id bigint, category string, total_us bigint, sessions bigint, local_date date"
+    )
+    for part_of in (~late, late):
+        arrived = c.events.filter(part_of)
+        queue.mark(arrived)
+        events.append(arrived)
+        recompute(events.of, queue, build, totals)
+    return totals.read()
 
 
 @query("s5_stream_sessions", f"""SELECT user_id, device_id, {DAY}, app_key, start_us, end_us, interactions,
@@ -141,16 +148,18 @@ def sessions_of_stream(ev, path, delay_days=7):
         .withWatermark("ts", f"{delay_days} days")
     )
     made = jobs.drain(state.stream_sessions(rows, tm.SAMPLE), "sessions", path)
-    overwrite_days(made, f"{path}/days")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in made.schema.fields)
+    days = DerivedTable(spark, f"{path}/days", fields)
+    days.replace(made, made)
 
     both = [spark.read.schema(ev.schema).parquet(f"{path}/{name}").select(*cols) for name in ("on_time", "late")]
     taken = both[0].unionByName(both[1]).withColumns(
         {"platform": F.lit("android"), "tz": F.lit(tm.TZ), "day_start_hour": F.lit(tm.DAY_START)}
     )
-    dirty = spark.read.schema("user_id bigint, local_date date").parquet(f"{path}/dirty").select(*USER_DAY).distinct()
 
-    def build(days):
-        return se.app_sessions(days, tm.SAMPLE).select(*made.columns)
+    def build(ev):
+        return se.app_sessions(ev, tm.SAMPLE).select(*made.columns)
 
-    jobs.recompute_dirty(taken, dirty, build, f"{path}/days")
-    return spark.read.schema(made.schema).parquet(f"{path}/days")
+    queue = MarkQueue(spark, f"{path}/dirty")
+    recompute(lambda marks: taken.join(marks, USER_DAY, "left_semi"), queue, build, days)
+    return days.read().select(*made.columns)

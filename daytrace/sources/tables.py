@@ -34,9 +34,9 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def create_table(spark: SparkSession, path: str, schema: str, partition: str) -> None:
+def create_table(spark: SparkSession, path: str, schema: str, *partition: str) -> None:
     """Make sure an (empty) partitioned table exists."""
-    spark.createDataFrame([], schema).write.mode("ignore").partitionBy(partition).parquet(path)
+    spark.createDataFrame([], schema).write.mode("ignore").partitionBy(*partition).parquet(path)
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition: str) -> None:

@@ -75,6 +75,11 @@ def wire_batches(ev: DataFrame) -> DataFrame:
     )
 
 
+def device_owners(ev: DataFrame) -> DataFrame:
+    """Whose a device is, by the id it sends under."""
+    return ev.select(F.concat_ws(":", "user_id", "device_id").alias("device_id"), "user_id").distinct()
+
+
 def deliveries(ev: DataFrame) -> DataFrame:
     """Batches as delivered: every fourth arrives twice, an hour apart."""
     times = F.when(F.col("batch_no") % 4 == 1, 2).otherwise(1)

@@ -9,6 +9,7 @@ from daytrace.config import Thresholds
 from daytrace.operators import sessions as se
 from daytrace.plans.stream_queries import sessions_of_stream
 from daytrace.sources import telemetry as tm
+from daytrace.sources import store as store_mod
 from daytrace.sources.tables import checkpoint_dir
 from daytrace.streaming import jobs
 from pyspark.sql import functions as F
@@ -52,12 +53,51 @@ def test_a_rejected_batch_sent_again_is_taken_and_leaves_its_receipt(spark):
     for rows in files:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    jobs.ingest_stream(stream, base).awaitTermination()
-    events = spark.read.schema(jobs.EVENT_TABLE).parquet(f"{base}/events").collect()
+    devices = spark.createDataFrame([("1:0", 1)], "device_id string, user_id long")
+    jobs.ingest_stream(stream, base, devices).awaitTermination()
+    store, queue = jobs.ingested(spark, base)
+    events = store.all().collect()
     assert sorted((r.event_id, r.batch_id) for r in events) == [("1", "a"), ("2", "a"), ("5", "b"), ("6", "b"), ("8", "c")]
     ledger = spark.read.schema(jobs.BATCH_TABLE).parquet(f"{base}/batches").filter("accepted").collect()
     assert sorted((r.batch_id, r.new_events, r.duplicates, r.seq_to) for r in ledger) == [("a", 2, 0, 2), ("b", 2, 0, 6), ("c", 1, 1, 8)]
-    dirty = spark.read.schema(jobs.DIRTY_TABLE).parquet(f"{base}/dirty").select("user_id", "local_date").distinct().collect()
-    assert [tuple(r) for r in dirty] == [(1, dt.date(2024, 1, 1))]
+    assert {(r.user_id, r.local_date, r.platform, r.tz) for r in events} == {(1, dt.date(2024, 1, 1), "android", "UTC")}
+    assert [tuple(r) for r in queue.take().frame.collect()] == [(1, dt.date(2024, 1, 1))]
+    # a replay is told what the batch's first valid delivery was told
+    told = spark.read.parquet(f"{base}/answers").collect()
+    assert sorted((r.epoch, r.batch_id, r.is_replay, r.accepted, r.new_events, r.duplicates, r.next_expected_seq) for r in told if r.accepted) == [
+        (0, "b", False, True, 2, 0, 7), (1, "a", False, True, 2, 0, 3), (1, "c", False, True, 1, 1, 9), (1, "c", True, True, 1, 1, 9),
+        (2, "a", True, True, 2, 0, 3),
+    ]
+    assert [(r.batch_id, r.new_events) for r in told if not r.accepted] == [("a", None)]
     assert [(r.last_seq, r.next_expected_seq) for r in jobs.cursors(spark, base).collect()] == [(8, 9)]
     assert [(r.batch_no, r.expected_seq) for r in jobs.gaps(spark, base, Thresholds()).collect()] == [("b", 1)]
+
+
+def test_unknown_devices_are_rejected_and_marks_drive_the_recompute(spark):
+    base = f"{checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    schema = "batch_id string, batch_device string, seq_from long, seq_to long, arrival long, lines array<string>"
+    devices = spark.createDataFrame([("1:0", 7)], "device_id string, user_id long")
+    fields = "user_id bigint, n bigint, local_date date"
+    counts = store_mod.DerivedTable(spark, f"{base}/counts", fields)
+    built = []
+
+    def build(ev):
+        out = ev.groupBy("user_id", "local_date").agg(F.count("*").alias("n")).select("user_id", "n", "local_date")
+        built.append(out.count())
+        return out
+
+    def send(k, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{base}/in")
+        jobs.ingest_stream(stream, base, devices).awaitTermination()
+        events, queue = jobs.ingested(spark, base)
+        changed = store_mod.recompute(events.of, queue, build, counts)
+        again = store_mod.recompute(events.of, queue, build, counts)
+        assert not again and len(built) == k
+        return changed, sorted((r.user_id, r.local_date.day, r.n) for r in counts.read().collect())
+
+    next_day = 1_704_088_800_000 + 86_400_000
+    assert send(1, [("a", "1:0", 1, 2, 10, [_line(1), _line(2)]), ("x", "9:9", 1, 1, 10, [_line(1, device_id="9:9")])]) == (True, [(7, 1, 2)])
+    assert send(2, [("b", "1:0", 3, 4, 11, [_line(2), _line(3, next_day)])]) == (True, [(7, 1, 2), (7, 2, 1)])
+    # a replay brings no new event: the marks are empty, nothing is built
+    assert send(2, [("b", "1:0", 3, 4, 12, [_line(2), _line(3, next_day)])])[1] == [(7, 1, 2), (7, 2, 1)]
