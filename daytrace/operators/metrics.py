@@ -11,6 +11,7 @@ from daytrace.functions import timecols as tc
 from daytrace.operators import coverage as cov
 from daytrace.operators import focus as fo
 from daytrace.operators import intervals as iv
+from daytrace.sources.tables import stage
 
 
 
@@ -192,38 +193,57 @@ def collector_health(
     )
 
 
-QUANTILE_BUCKETS = 4096
+#: Buckets of a refinement, and distinct values of a bucket that are sorted in one task.
+QUANTILE_BUCKETS, QUANTILE_VALUES = 4096, 4096
 
 
-def exact_quantiles(per_value: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+def exact_quantiles(
+    per_value: DataFrame, keys: list[str], value: str, quantiles: dict[str, float],
+    buckets: int = QUANTILE_BUCKETS, most: int = QUANTILE_VALUES,
+) -> DataFrame:
     """Exact interpolated quantiles of ``value`` per key, each row standing for ``n`` of them.
 
-    Values are counted in equal-width buckets between the least and the largest of their key, and
-    only the buckets that hold a wanted rank are sorted, so no task sees all values of a key.
+    Every wanted rank has a range of values it must lie in, at first all of its key's.  A round counts
+    the range's values in equal-width buckets between its least and largest and keeps the bucket that
+    holds the rank, with the least and largest value really in it.  Both ends of a range fall into
+    different buckets, so ranges shrink whatever the values are; an outlier costs a round.  Rounds go on
+    until no range has more than ``most`` distinct values, and only those are sorted.
     """
     v = F.col(value).cast("double")
-    span = per_value.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.sum("n").alias("_all"))
-    place = F.coalesce((v - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)), F.lit(0.0))
-    bucket = F.least(F.floor(place * QUANTILE_BUCKETS), F.lit(QUANTILE_BUCKETS - 1)).cast("int")
-    rows = per_value.join(span, keys).select(*keys, "_all", bucket.alias("_b"), v.alias("_v"), "n")
-    counts = rows.groupBy(*keys, "_all", "_b").agg(F.sum("n").alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    rows = per_value.groupBy(*keys, v.alias("_v")).agg(F.sum("n").alias("n"))
     at = lambda p: F.lit(p) * (F.col("_all") - 1)
-    ranks = F.array(*[f(at(p)).cast("long") for p in quantiles.values() for f in (F.floor, F.ceil)])
-    hit = F.exists(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")))
-    rows = rows.join(counts.where(hit).drop("_all", "_n"), [*keys, "_b"])
-    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_end", F.sum("n").over(inside) + F.col("_before"))
-
-    def ranked(rank):
-        return F.max(F.when((rank < F.col("_end")) & (rank >= F.col("_end") - F.col("n")), F.col("_v")))
+    ranks = F.array_distinct(F.array(*[f(at(p)).cast("long") for p in quantiles.values() for f in (F.floor, F.ceil)]))
+    spans = rows.groupBy(*keys).agg(
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("n").alias("_all"), F.count("*").alias("_m")
+    )
+    # one small row per key and rank
+    spans = stage(spans.withColumn("_r", F.explode(ranks)).withColumn("_before", F.lit(0).cast("long")))
+    rows = stage(rows)
+
+    def inside(frame: DataFrame) -> DataFrame:
+        return rows.join(frame, keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+
+    while (spans.agg(F.max("_m")).first()[0] or 0) > most:
+        place = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+        bucket = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(place * buckets), F.lit(buckets - 1))).otherwise(0)
+        own = [*keys, "_r", "_all", "_before"]
+        counts = inside(spans).groupBy(*own, bucket.alias("_b")).agg(
+            F.sum("n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_m")
+        )
+        # at most as many rows per rank as there are buckets
+        earlier = Window.partitionBy(*keys, "_r").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        hit = (F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_n"))
+        spans = stage(counts.where(hit).drop("_b", "_n"))
+    order = Window.partitionBy(*keys, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    found = inside(spans).withColumn("_end", F.col("_before") + F.sum("n").over(order))
+    found = found.where((F.col("_r") < F.col("_end")) & (F.col("_r") >= F.col("_end") - F.col("n")))
 
     def quantile(p: float):
-        low, high = F.floor(at(p)), F.ceil(at(p))
-        return F.round(ranked(low) + (ranked(high) - ranked(low)) * F.max(at(p) - low), 6)
+        low, high = (F.max(F.when(F.col("_r") == f(at(p)).cast("long"), F.col("_v"))) for f in (F.floor, F.ceil))
+        return F.round(low + (high - low) * F.max(at(p) - F.floor(at(p))), 6)
 
-    return rows.groupBy(*keys).agg(*[quantile(p).alias(name) for name, p in quantiles.items()])
+    return found.groupBy(*keys).agg(*[quantile(p).alias(name) for name, p in quantiles.items()])
 
 
 def latency_quantiles(events: DataFrame) -> DataFrame:

@@ -130,13 +130,37 @@ def gate(walked: DataFrame) -> DataFrame:
     )
 
 
+def suffix_rules(suffixes: DataFrame) -> DataFrame:
+    """A suffix list (column ``suffix``) as paths of a trie over labels read from the right: ``path``,
+    ``depth`` (its labels) and how many labels a host through it gives to its suffix.
+
+    ``a.b`` is a suffix itself, ``*.b`` makes one of every label before ``b``, and ``!c.b`` takes ``c.b``
+    out of that again.  Blank entries are left out; case and repeated entries do not matter.
+    """
+    rule = F.lower(F.trim("suffix"))
+    bare = F.regexp_replace(rule, r"^(!|\*\.)", "")
+    labels = F.split(bare, r"\.")
+    kind = F.when(F.startswith(rule, F.lit("!")), "exception").when(F.startswith(rule, F.lit("*.")), "wildcard")
+    kind = F.coalesce(kind, F.lit("plain"))
+    n = F.size(labels)
+    return suffixes.where(F.length(bare) > 0).select(
+        F.array_join(F.reverse(labels), ".").alias("path"),
+        n.alias("depth"),
+        kind.alias("kind"),
+        F.when(kind == "exception", n - 1).when(kind == "wildcard", n + 1).otherwise(n).alias("takes"),
+    ).distinct()
+
+
 def registrable_domain(pages: DataFrame, url: str, suffixes: DataFrame) -> DataFrame:
     """Add ``domain``: the registrable part of a URL's host, null for addresses without one.
 
-    Hosts are made distinct first, so that a host holding many pages is looked up once.
-    ``suffixes`` has one column ``suffix``; the longest matching suffix wins and an unlisted top label counts as a suffix.
+    Hosts are made distinct first, so that a host holding many pages is looked up once.  Every
+    prefix of a host's labels from the right is a path of the rules' trie or not: one equality join finds
+    all rules on the way.  An exception wins, else the rule that takes most labels; the top label
+    alone is a suffix where no rule applies.  ``suffixes``: see ``suffix_rules``.
     """
-    df = pages.withColumn("host", F.lower(F.try_parse_url(F.col(url), F.lit("HOST"))))
+    host = F.rtrim(F.lower(F.try_parse_url(F.col(url), F.lit("HOST"))), F.lit("."))
+    df = pages.withColumn("host", host)
     hosts = df.select("host").distinct().filter(
         F.col("host").isNotNull()
         & ~F.col("host").rlike(r"^[0-9.]+$|^\[")
@@ -144,17 +168,18 @@ def registrable_domain(pages: DataFrame, url: str, suffixes: DataFrame) -> DataF
     )
     labels = F.split("host", r"\.")
     n = F.size(labels)
-    tails = F.transform(
-        F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), ".")
+    back = F.reverse(labels)
+    ways = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(back, F.lit(1), i), "."))
+    walked = hosts.select("host", n.alias("n"), F.explode(ways).alias("path"))
+    met = walked.join(suffix_rules(suffixes), "path").where(F.col("takes") <= F.col("n"))
+    best = met.groupBy("host").agg(
+        F.max(F.when(F.col("kind") == "exception", F.col("takes"))).alias("out"), F.max("takes").alias("most")
     )
-    ranked = hosts.select("host", n.alias("n"), F.posexplode(tails).alias("at", "suffix"))
-    known = ranked.join(suffixes.distinct(), "suffix")
-    best = known.groupBy("host").agg(F.min("at").alias("at"))
     found = hosts.join(best, "host", "left").select(
-        "host", F.coalesce("at", n - 1).alias("at"), labels.alias("labels")
+        "host", labels.alias("labels"), F.coalesce("out", "most", F.lit(1)).alias("takes")
     )
     domain = F.when(
-        F.col("at") > 0,
-        F.array_join(F.slice("labels", F.col("at"), F.size("labels")), "."),
+        F.size("labels") > F.col("takes"),
+        F.array_join(F.slice("labels", F.size("labels") - F.col("takes"), F.col("takes") + 1), "."),
     )
     return df.join(found.select("host", domain.alias("domain")), "host", "left")

@@ -27,13 +27,7 @@ query("c3_coverage_intervals", f"SELECT user_id, device_id, {DAY}, start_us, end
     lambda c: c.plan.coverage
 )
 
-query("c3_silent_device_days", """
-SELECT user_id, device_id, CAST(d AS VARCHAR) AS local_date, epoch_us(d::TIMESTAMP) + 14400000000 AS start_us,
-  epoch_us(d::TIMESTAMP) + 100800000000 AS end_us, 'UNOBSERVED' AS state
-FROM (SELECT user_id, device_id, CAST(unnest(generate_series(lo::TIMESTAMP, hi::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS d FROM
-  (SELECT DISTINCT user_id, device_id FROM ev WHERE platform = 'android') JOIN
-  (SELECT user_id, min(local_date) AS lo, max(local_date) AS hi FROM ev GROUP BY user_id) USING (user_id)) x
-WHERE NOT EXISTS (SELECT 1 FROM ev e WHERE e.user_id = x.user_id AND e.device_id = x.device_id AND e.local_date = x.d)""")(
+query("c3_silent_device_days", f"""SELECT user_id, device_id, {DAY}, start_us, end_us, 'UNOBSERVED' AS state FROM silent""")(
     lambda c: cov.silent_intervals(
         cov.silent_days(tm.enrolled_phones(c.events), c.plan.phone_events)
     )

@@ -220,7 +220,16 @@ SELECT user_id, device_id, local_date, min(start_us) AS start_us, max(end_us) AS
 FROM {prefix}_i GROUP BY user_id, device_id, local_date, state, i""")
 
 
-_coverage_parts("coverage", "false")
+_coverage_parts("coverage_seen", "false")
+part("silent", """
+SELECT user_id, device_id, d AS local_date, epoch_us(d::TIMESTAMP) + 14400000000 AS start_us, epoch_us(d::TIMESTAMP) + 100800000000 AS end_us
+FROM (SELECT user_id, device_id, CAST(unnest(generate_series(lo::TIMESTAMP, hi::TIMESTAMP + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS d FROM
+  (SELECT DISTINCT user_id, device_id FROM ev WHERE platform = 'android') JOIN
+  (SELECT user_id, min(local_date) AS lo, max(local_date) AS hi FROM ev GROUP BY user_id) USING (user_id)) x
+WHERE NOT EXISTS (SELECT 1 FROM ev e WHERE e.user_id = x.user_id AND e.device_id = x.device_id AND e.local_date = x.d)""")
+part("coverage", """
+SELECT user_id, device_id, local_date, start_us, end_us, state FROM coverage_seen
+UNION ALL SELECT user_id, device_id, local_date, start_us, end_us, 'UNOBSERVED' FROM silent""")
 _coverage_parts("coverage_media", "media = 1")
 part("screen", """
 SELECT user_id, device_id, local_date, CAST(sum(CASE WHEN lit = 1 THEN coalesce(next_us,
@@ -453,7 +462,9 @@ SELECT user_id, local_date, CAST(sum(greatest(end_us - greatest(start_us, coales
 FROM bs_o GROUP BY ALL""")
 part("m_days", """
 SELECT user_id, local_date, min(win_start) AS day_start_us, min(win_end) AS day_end_us,
-  count(CASE WHEN type = 'DEVICE_UNLOCK' THEN 1 END) AS unlock_count FROM ev GROUP BY ALL""")
+  count(CASE WHEN type = 'DEVICE_UNLOCK' THEN 1 END) AS unlock_count FROM (
+ SELECT user_id, local_date, win_start, win_end, type FROM ev UNION ALL SELECT user_id, local_date, start_us, end_us, NULL FROM silent)
+GROUP BY ALL""")
 part("m_cov", """
 SELECT user_id, local_date,
   sum(CASE WHEN state = 'TRACKED' THEN end_us - start_us ELSE 0 END)::BIGINT AS tracked_us,

@@ -394,7 +394,7 @@ part("h_goal", """
 SELECT g.user_id, g.local_date, row_number() OVER (PARTITION BY g.user_id, g.local_date ORDER BY priority, g.goal_id) AS rank, name, priority,
  CAST(round_even(target_weekly_min, 0) AS BIGINT) AS target_weekly_minutes, CAST(round_even(t.aligned_min, 0) AS BIGINT) AS aligned_minutes_today,
  CAST(round_even(t.high_min - t.aligned_min, 0) AS BIGINT) AS uncertainty, round_even(w.attainment * 100.0::DOUBLE, 0) / 100.0::DOUBLE AS week_attainment
-FROM (SELECT d.user_id, d.local_date, goal_id, name, priority, target_weekly_min FROM (SELECT DISTINCT user_id, local_date FROM ev) d JOIN goal_dim x
+FROM (SELECT d.user_id, d.local_date, goal_id, name, priority, target_weekly_min FROM (SELECT DISTINCT user_id, local_date FROM m_days) d JOIN goal_dim x
   ON x.user_id = d.user_id AND NOT archived AND active_from <= d.local_date AND (active_to IS NULL OR active_to >= d.local_date)) g
 JOIN goal_win t ON t.user_id = g.user_id AND t.goal_id = g.goal_id AND t.local_date = g.local_date AND t.window_days = 1
 JOIN goal_win w ON w.user_id = g.user_id AND w.goal_id = g.goal_id AND w.local_date = g.local_date AND w.window_days = 7""")

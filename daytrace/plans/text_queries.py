@@ -258,3 +258,27 @@ def _(c):
     suffixes = c.spark.createDataFrame([(s,) for s in SUFFIXES], "suffix string")
     pages = c.table("pages").select("page_id", "url")
     return pv.registrable_domain(pages, "url", suffixes).select("page_id", "domain")
+
+
+# Rules of every kind, and hosts that end in each of them; unlisted top labels too.
+RULES = ["com", "com.au", "au", "jp", "co.jp", "*.kobe.jp", "!city.kobe.jp", "*.ck", "!www.ck", "uk", "co.uk"]
+HOSTS = ["a.com.au", "b.co.jp", "kobe.jp", "x.kobe.jp", "city.kobe.jp", "ck", "shop.ck", "www.ck", "co.uk", "unlisted.zz"]
+
+
+@query("t9_suffix_rules", f"""
+WITH h AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '' ELSE 'p' || page_id || '.' END || [{", ".join(f"'{h}'" for h in HOSTS)}][page_id % {len(HOSTS)} + 1] AS host FROM pages),
+l AS (SELECT page_id, string_split(host, '.') AS l FROM h),
+r AS (SELECT unnest([{", ".join(f"'{r}'" for r in RULES)}]) AS rule),
+m AS (SELECT page_id, l, rule, len(string_split(rule, '.')) AS n, rule LIKE '!%' AS ex FROM l LEFT JOIN r ON
+  CASE WHEN rule LIKE '!%' THEN '.' || array_to_string(l, '.') LIKE '%.' || rule[2:]
+       WHEN rule LIKE '*%' THEN len(l) >= len(string_split(rule, '.')) AND array_to_string(l, '.') LIKE '%' || rule[2:]
+       ELSE '.' || array_to_string(l, '.') LIKE '%.' || rule END),
+b AS (SELECT page_id, any_value(l) AS l, coalesce(max(CASE WHEN ex THEN n - 1 END), max(n), 1) AS s FROM m GROUP BY page_id)
+SELECT page_id, CASE WHEN len(l) > s AND len(l) > 1 THEN array_to_string(l[len(l) - s:], '.') END AS domain FROM b""")
+def _(c):
+    """Plain, wildcard and exception rules from a table, over hosts made from the pages' ids."""
+    rules = c.spark.createDataFrame([(r,) for r in RULES], "suffix string")
+    front = F.when(F.col("page_id") % 3 == 0, "").otherwise(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".")))
+    host = F.concat(front, F.element_at(F.lit(HOSTS), (F.col("page_id") % len(HOSTS) + 1).cast("int")))
+    pages = c.table("pages").select("page_id", F.concat(F.lit("https://"), host, F.lit("/x")).alias("url"))
+    return pv.registrable_domain(pages, "url", rules).select("page_id", "domain")

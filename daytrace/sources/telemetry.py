@@ -144,8 +144,10 @@ def learned_priors(ev: DataFrame) -> DataFrame:
 
 
 def enrolled_phones(ev: DataFrame) -> DataFrame:
-    """Phones of the sample, enrolled from the user's first to the last day."""
-    span = ev.groupBy("user_id").agg(F.min("local_date").alias("first_date"), F.max("local_date").alias("last_date"))
+    """Phones of the sample, enrolled from the user's first day to the one after the last, which is silent."""
+    span = ev.groupBy("user_id").agg(
+        F.min("local_date").alias("first_date"), F.date_add(F.max("local_date"), 1).alias("last_date")
+    )
     phones = ev.filter("platform = 'android'").select("user_id", "device_id", "tz", "day_start_hour").distinct()
     return phones.join(span, "user_id")
 
@@ -240,4 +242,5 @@ def sample_plan(spark: SparkSession, sf_dir: str):
         SAMPLE,
         rules=user_rules(ev),
         learned=learned_priors(ev),
+        enrolled=enrolled_phones(ev),
     )

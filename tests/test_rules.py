@@ -10,6 +10,7 @@ from daytrace.config import Thresholds
 from daytrace.operators import classify as cl
 from daytrace.operators import focus as fo
 from daytrace.operators import intervals as iv
+from daytrace.operators import metrics as me
 from daytrace.operators import patterns as pa
 
 TH = replace(Thresholds(), chunk_s=600)
@@ -256,3 +257,23 @@ def test_arbitration_cuts_the_earlier_family(spark):
     out = iv.arbitrate(df).orderBy("start_us").collect()
     assert [(r.app_key, r.start_us, r.end_us, r.truncated) for r in out] == [
         ("x", 0, 40, True), ("y", 40, 60, False), ("z", 60, 90, False)]
+
+
+@pytest.mark.parametrize("case", ["outlier", "spread", "ties", "one"])
+def test_quantiles_by_refinement(spark, case):
+    rng = random.Random(6)
+    values = {
+        "outlier": [rng.random() for _ in range(500)] + [1e9],
+        "spread": [10.0 ** rng.uniform(-20, 20) * rng.choice([-1, 1]) for _ in range(300)],
+        "ties": [rng.choice([1.0, 2.0, 2.5]) for _ in range(400)],
+        "one": [7.25],
+    }[case]
+    rows = [("a", v, rng.randint(1, 4)) for v in values] + [("b", float(i), 1) for i in range(11)]
+    df = spark.createDataFrame(rows, "key string, v double, n long").repartition(3)
+    got = me.exact_quantiles(df, ["key"], "v", {"p50": 0.5, "p95": 0.95, "p0": 0.0, "p100": 1.0}, buckets=16, most=8)
+    for r in got.collect():
+        flat = sorted(v for k, v, n in rows if k == r.key for _ in range(n))
+        for p, mine in ((0.5, r.p50), (0.95, r.p95), (0.0, r.p0), (1.0, r.p100)):
+            at = p * (len(flat) - 1)
+            low, high = flat[int(at)], flat[-int(-at // 1)]
+            assert mine == pytest.approx(low + (high - low) * (at - int(at)), rel=1e-9, abs=1e-5)

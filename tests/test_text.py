@@ -69,3 +69,18 @@ def test_domain(spark, url, want):
     suffixes = spark.createDataFrame([("com",), ("org",), ("uk",), ("co.uk",), ("example.org",)], "suffix string")
     df = spark.createDataFrame([(1, url)], "id int, url string")
     assert pv.registrable_domain(df, "url", suffixes).first().domain == want
+
+
+def test_suffix_rules_of_every_kind(spark):
+    rules = ["com", "com.au", "jp", "co.jp", "*.kobe.jp", "!city.kobe.jp", "*.ck", "!www.ck", "CO.UK ", "", "com"]
+    cases = {
+        "https://a.com.au/x": "a.com.au", "https://deep.a.com.au": "a.com.au", "https://b.co.jp": "b.co.jp", "https://com.au": None,
+        "https://x.y.kobe.jp": "x.y.kobe.jp", "https://y.kobe.jp": None, "https://city.kobe.jp": "city.kobe.jp",
+        "https://w.city.kobe.jp": "city.kobe.jp", "https://kobe.jp": "kobe.jp", "https://www.ck": "www.ck", "https://a.www.ck": "www.ck",
+        "https://shop.ck": None, "https://b.shop.ck": "b.shop.ck", "https://q.unlisted": "q.unlisted", "https://A.Co.Uk.": "a.co.uk",
+        "https://10.0.0.1/": None, "https://localhost": None, "no url": None, None: None,
+    }
+    pages = spark.createDataFrame([(u,) for u in cases] + [("https://a.com.au/x",)], "url string")
+    got = pv.registrable_domain(pages, "url", spark.createDataFrame([(r,) for r in rules], "suffix string"))
+    rows = [(r.url, r.domain) for r in got.collect()]
+    assert len(rows) == len(cases) + 1 and dict(rows) == cases
