@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +16,35 @@ RELATIVE, ABSOLUTE = 0.02, 0.005
 SCORE_BAND, LOW_COVERAGE, HIGH_UNKNOWN, LOW_CONFIDENCE = 15, 0.6, 0.3, 0.7
 
 
+def document_numbers(doc: Column) -> Column:
+    """Every number of a JSON text, at any depth, as an array of doubles in document order.
+
+    Keys, texts, true, false and null are no numbers.  Escaped characters go first, then whatever stands in quotes;
+    what is left of a valid text holds its numbers alone.  Null texts and such
+    that no JSON value begins have none.
+    """
+    bare = F.regexp_replace(F.regexp_replace(doc, r"(?s)\\.", ""), r'(?s)"[^"]*"', "")
+    found = F.regexp_extract_all(bare, F.lit(r"(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)"), F.lit(1))
+    none = F.array().cast("array<double>")
+    return F.when(F.try_parse_json(doc).isNotNull(), found.cast("array<double>")).otherwise(none)
+
+
+@cache
+def _digits() -> tuple[str, str]:
+    """All decimal digits of Unicode but 0 to 9, and their values."""
+    every = [chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
+    return "".join(every), "".join(str(unicodedata.decimal(c)) for c in every)
+
+
+def plain_digits(text: Column) -> Column:
+    """Decimal digits of any script as 0 to 9."""
+    return F.when(text.rlike(r"(?U)[^\P{Nd}0-9]"), F.translate(text, *_digits())).otherwise(text)
+
+
 def numbers_grounded(text: Column, context: Column) -> Column:
     """Whether every number in the text is near some number of the context array.  A number
-    with a percent sign may match as given or as a fraction."""
-    found = F.regexp_extract_all(text, F.lit(f"({catalog.NUMBER})"), F.lit(1))
+    with a percent sign may match as given or as a fraction; digits may be of any script."""
+    found = F.regexp_extract_all(plain_digits(text), F.lit(f"({catalog.NUMBER})"), F.lit(1))
 
     def near(value: Column) -> Column:
         return F.exists(
@@ -60,13 +89,14 @@ def is_derived(path: Column) -> Column:
 def check_claims(claims: DataFrame) -> DataFrame:
     """Validate claims next to their context.
 
-    Needs doc (JSON text), context_numbers, claim, narrative, evidence (paths),
-    epistemic_status, confidence, coverage_ratio, unknown_ratio.  Adds ``kept`` and the
-    adjusted status and confidence.
+    Needs doc (JSON text), claim, narrative, evidence (paths), epistemic_status, confidence,
+    coverage_ratio, unknown_ratio.  Numbers must be grounded in those of the whole document.  Adds ``kept``
+    and the adjusted status and confidence.
     """
+    claims = claims.withColumn("_numbers", document_numbers(F.col("doc")))
     resolved = F.forall("evidence", lambda p: path_resolves(F.col("doc"), p))
-    grounded = numbers_grounded(F.col("claim"), F.col("context_numbers")) & numbers_grounded(
-        F.col("narrative"), F.col("context_numbers")
+    grounded = numbers_grounded(F.col("claim"), F.col("_numbers")) & numbers_grounded(
+        F.col("narrative"), F.col("_numbers")
     )
     rejected = has_rejected_term(F.col("claim")) | has_rejected_term(F.col("narrative"))
     only_derived = F.forall("evidence", is_derived)
@@ -81,7 +111,7 @@ def check_claims(claims: DataFrame) -> DataFrame:
                 poor, F.least("confidence", F.lit(LOW_CONFIDENCE))
             ).otherwise(F.col("confidence")),
         }
-    )
+    ).drop("_numbers")
 
 
 def analysis_status(checked: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:

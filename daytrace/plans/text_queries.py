@@ -142,6 +142,26 @@ query("t5_grounded_claims", f"SELECT doc_id, {_grounded('text', '[n_chars::DOUBL
         ).alias("grounded"),
     )
 )
+part("order_docs", """SELECT o_orderkey AS order_key, '{"order":' || o_orderkey || ',"note":"a \\"7\\" of 9, [3]","x5":[true,null,' || (o_orderkey % 7 - 3) || ',{"deep":['
+ || o_custkey || ',[[' || (o_orderkey % 100) || '.25]]],"e":1.5e3}],"status":"' || o_orderstatus || '42"' || CASE WHEN o_orderkey % 50 = 0 THEN '' ELSE '}' END AS doc FROM orders""")
+
+
+@query("t5_document_numbers", """
+SELECT order_key, coalesce(array_to_string(list_transform(list_sort(nums), lambda x: CAST(CAST(round_even(x * 100, 0) AS BIGINT) AS VARCHAR)), ','), '') AS hundredths
+FROM order_docs LEFT JOIN (SELECT d.order_key, list(j.value::DOUBLE) AS nums FROM (SELECT * FROM order_docs WHERE json_valid(doc)) d, json_tree(d.doc) j
+ WHERE j.type IN ('UBIGINT', 'BIGINT', 'DOUBLE') GROUP BY ALL) USING (order_key)""")
+def _(c):
+    """All numbers of nested documents made from the orders; every fiftieth is cut off and has none."""
+    key, text = F.col("o_orderkey"), lambda x: x.cast("string")
+    doc = F.concat(
+        F.lit('{"order":'), text(key), F.lit(',"note":"a \\"7\\" of 9, [3]","x5":[true,null,'), text(key % 7 - 3),
+        F.lit(',{"deep":['), text(F.col("o_custkey")), F.lit(",[["), text(key % 100), F.lit('.25]]],"e":1.5e3}],"status":"'),
+        F.col("o_orderstatus"), F.lit('42"'), F.when(key % 50 == 0, "").otherwise("}"),
+    )
+    numbers = F.transform(F.array_sort(cm.document_numbers(doc)), lambda x: F.rint(x * 100).cast("long"))
+    return c.table("orders").select(key.alias("order_key"), numbers.alias("hundredths"))
+
+
 _NOTES = ["no disorder here", "disorderly queue", "ADHD noted", "a mental illness", "Burn-out", "burnout", "calm"]
 part("notes", "SELECT seq, [" + ", ".join(f"'{n}'" for n in _NOTES) + f"][k % {len(_NOTES)} + 1] AS note FROM ev")
 _TERMS = "|".join(catalog.REJECTED_TERMS)
@@ -177,10 +197,18 @@ def _(c):
 
 part("claim_ctx", """SELECT user_id, local_date, coverage_ratio, unknown_ratio, CAST(round_even(screen_time_s / 60.0::DOUBLE, 0) AS BIGINT) AS sm, interruptions AS itr, fragmentation_index AS fr,
  CAST(local_date - DATE '1970-01-01' AS BIGINT) + user_id AS h FROM metrics""")
-part("claim_rows", """
-SELECT *, 1 AS n, h % 5 <> 0 AS kept, 'FACT' AS st, 0.9::DOUBLE AS cf FROM claim_ctx
-UNION ALL SELECT *, 2, true, 'INFERENCE', 0.6 FROM claim_ctx
-UNION ALL SELECT *, 3, h % 7 <> 0 AND h % 3 <> 0, 'FACT', 0.8 FROM claim_ctx""")
+part("claim_docs", """SELECT *, json_object('data_quality', json_object('coverage_ratio', coverage_ratio, 'unknown_ratio', unknown_ratio),
+ 'focus', json_object('interruptions', itr, 'fragmentation_index', fr), 'totals', json_object('screen_minutes', sm)) AS doc FROM claim_ctx""")
+part("claim_nums", """SELECT c.user_id, c.local_date, list(j.value::DOUBLE) AS nums FROM claim_docs c, json_tree(c.doc) j
+ WHERE j.type IN ('UBIGINT', 'BIGINT', 'DOUBLE') GROUP BY ALL""")
+part("claim_texts", """
+SELECT *, 1 AS n, 'Screen time was ' || (CASE WHEN h % 5 = 0 THEN sm * 2 + 1000 ELSE sm END) || ' minutes' AS claim, 'totals.screen_minutes' AS path, 'FACT' AS st, 0.9::DOUBLE AS cf FROM claim_docs
+UNION ALL SELECT *, 2, 'The day was fragmented', 'focus.fragmentation_index', 'INFERENCE', 0.6 FROM claim_docs
+UNION ALL SELECT *, 3, CASE WHEN h % 3 = 0 THEN 'A burnout sign: ' || itr ELSE itr || ' interruptions' END,
+ CASE WHEN h % 7 = 0 THEN 'focus.breaks' ELSE 'focus.interruptions' END, 'FACT', 0.8 FROM claim_docs""")
+part("claim_rows", f"""
+SELECT t.*, json_exists(doc, '$.' || path) AND {_grounded('claim', 'nums')} AND NOT regexp_matches(claim, '(?i)\\b({_TERMS})\\b') AS kept
+FROM claim_texts t JOIN claim_nums USING (user_id, local_date)""")
 
 
 def day_claims(c):
@@ -214,15 +242,9 @@ def day_claims(c):
             0.8,
         ),
     )
-    numbers = F.array_compact(
-        F.array(
-            "coverage_ratio", "unknown_ratio", "fragmentation_index",
-            F.col("interruptions").cast("double"), minutes.cast("double"),
-        )
-    )
     df = m.select(
         *USER_DAY, "coverage_ratio", "unknown_ratio", h.alias("h"), doc.alias("doc"),
-        numbers.alias("context_numbers"), F.lit("").alias("narrative"), F.explode(claims).alias("x"),
+        F.lit("").alias("narrative"), F.explode(claims).alias("x"),
     )
     return df.select(*df.columns[:-1], "x.*")
 
@@ -233,8 +255,9 @@ query("t8_claim_policy", f"""SELECT user_id, {DAY}, n, kept, st AS epistemic_sta
 )
 
 
-@query("t8_analysis_status", f"""SELECT user_id, {DAY}, 3 AS claims, (h % 5 <> 0)::INT + 1 + (h % 7 <> 0 AND h % 3 <> 0)::INT AS kept,
- CASE WHEN h % 4 <> 0 THEN 50 END AS day_score, CASE WHEN h % 4 = 0 OR h % 5 = 0 OR h % 7 = 0 OR h % 3 = 0 THEN 'partial' ELSE 'ok' END AS status FROM claim_ctx""")
+@query("t8_analysis_status", f"""SELECT user_id, {DAY}, count(*) AS claims, count(CASE WHEN kept THEN 1 END) AS kept,
+ CASE WHEN h % 4 <> 0 THEN 50 END AS day_score, CASE WHEN h % 4 = 0 OR NOT bool_and(kept) THEN 'partial' ELSE 'ok' END AS status
+ FROM claim_rows GROUP BY user_id, local_date, h""")
 def _(c):
     """Every fourth analysis claims a score outside the band around the reference score."""
     checked = stage(cm.check_claims(day_claims(c)))

@@ -84,3 +84,23 @@ def test_suffix_rules_of_every_kind(spark):
     got = pv.registrable_domain(pages, "url", spark.createDataFrame([(r,) for r in rules], "suffix string"))
     rows = [(r.url, r.domain) for r in got.collect()]
     assert len(rows) == len(cases) + 1 and dict(rows) == cases
+
+
+def test_numbers_of_whole_documents(spark):
+    deep = "[" * 30 + "-4.5" + "]" * 30
+    cases = {
+        '{"a":1,"b":{"c":[true,null,-3,"7"],"d":1e3}}': [1.0, -3.0, 1000.0],
+        '{"k9":"x\\\\","n":2.5,"q":"a \\"8\\" b"}': [2.5],
+        '["' + "9 " * 20_000 + '", 6]': [6.0],
+        '{"line":"1\\n2","m":0.02}': [0.02],
+        deep: [-4.5], "3": [3.0], '"3"': [], "{}": [], "{broken 5": [], "": [], None: [],
+    }
+    df = spark.createDataFrame([(d,) for d in cases], "doc string")
+    got = {r.doc: r.n for r in df.select("doc", cm.document_numbers(F.col("doc")).alias("n")).collect()}
+    assert got == cases
+
+
+def test_digits_of_any_script_are_numbers(spark):
+    df = spark.createDataFrame([("\u0663\u0660 minutes",), ("\uff13\uff11 minutes",), ("30 minutes",), ("none",), ("\U0001d7db\U0001d7d8",)], "t string")
+    got = [r[0] for r in df.select(cm.numbers_grounded(F.col("t"), F.array(F.lit(30.0)))).collect()]
+    assert got == [True, False, True, True, True]
