@@ -209,6 +209,28 @@ def supersede(activities: DataFrame, corrections: DataFrame) -> DataFrame:
     return old.unionByName(new)
 
 
+def corrected(activities: DataFrame, log: DataFrame) -> DataFrame:
+    """The current view of activities under a correction log (activity_id, corrected_category, us, seq).
+
+    The log is kept as it came; of several corrections of an activity the latest counts.  Corrected rows
+    take the category, full confidence, source ``user`` and the id that ``supersede`` gives the new
+    copy.  The log is applied when activities are read, so days computed anew are corrected again.
+    """
+    latest = log.groupBy(F.col("activity_id").alias("_id")).agg(
+        F.max_by("corrected_category", F.struct("us", "seq")).alias("_to")
+    )
+    df = activities.join(latest, F.col("activity_id") == F.col("_id"), "left")
+    hit = F.col("_to").isNotNull()
+    return df.withColumns(
+        {
+            "category": F.coalesce("_to", "category"),
+            "confidence": F.when(hit, 1.0).otherwise(F.col("confidence")),
+            "source": F.when(hit, "user").otherwise(F.col("source")),
+            "activity_id": F.when(hit, F.concat("activity_id", F.lit("+"))).otherwise(F.col("activity_id")),
+        }
+    ).drop("_id", "_to")
+
+
 def retroactive_days(sessions: DataFrame, corrections: DataFrame) -> DataFrame:
     """Other days on which a corrected app was used: the days a retroactive change rewrites."""
     days = sessions.select("user_id", "app_key", "local_date").distinct()

@@ -4,6 +4,7 @@ daily metrics, for all user-days at once."""
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -35,10 +36,12 @@ class DayPlan:
         learned: DataFrame | None = None,
         enrolled: DataFrame | None = None,
         days: tuple[dt.date, dt.date] | None = None,
+        corrections: Callable[[DayPlan], DataFrame] | None = None,
     ) -> None:
         """``days`` keeps the local days from the first to the last, both included; the filter reaches the
         partitions of a stored event table (``sources.store``).  ``enrolled`` (phones: user_id, device_id, tz, day_start_hour, first_date, last_date) adds the
-        device-days without events, which are unobserved from end to end."""
+        device-days without events, which are unobserved from end to end.  ``corrections`` gives the log
+        of activity corrections that ``current`` is read under."""
         if days is not None:
             inside = F.col("local_date").between(F.lit(days[0]), F.lit(days[1]))
             events = events.filter(inside)
@@ -54,6 +57,7 @@ class DayPlan:
         self.rules = rules
         self.learned = learned
         self.enrolled = enrolled
+        self.corrections = corrections
         self.th = thresholds
 
     @cached_property
@@ -174,7 +178,12 @@ class DayPlan:
     # activities, focus, patterns ----------------------------------------------------
     @cached_property
     def activities(self) -> DataFrame:
-        return iv.activities(iv.cluster_cross_device(self.classified, self.th))
+        return stage(iv.activities(iv.cluster_cross_device(self.classified, self.th)))
+
+    @cached_property
+    def current(self) -> DataFrame:
+        """Activities as corrected by their users."""
+        return self.activities if self.corrections is None else cl.corrected(self.activities, self.corrections(self))
 
     @cached_property
     def focus(self) -> DataFrame:

@@ -369,13 +369,13 @@ def _(c):
 query("j3_array_key_join", """
 SELECT activity_id, array_to_string(list_sort(list(DISTINCT c.app_key)), ',') AS app_keys
 FROM (SELECT activity_id, unnest(session_ids) AS session_id FROM acts) a JOIN classified c USING (session_id) GROUP BY activity_id""")(
-    lambda c: activity_apps(c.plan)
+    lambda c: activity_apps(c.plan, c.plan.activities)
 )
 
 
-def activity_apps(plan):
+def activity_apps(plan, activities):
     """Sorted set of app keys behind every activity."""
-    members = plan.activities.select("activity_id", F.explode("session_ids").alias("session_id"))
+    members = activities.select("activity_id", F.explode("session_ids").alias("session_id"))
     return (
         members.join(plan.classified.select("session_id", "app_key"), "session_id")
         .groupBy("activity_id")

@@ -326,6 +326,13 @@ SELECT * EXCLUDE (dom), dom.s AS source, dom.e AS evidence, dom.i AS dominant_id
   array_to_string(list_filter(session_ids, lambda x: x <> dom.i), ',') AS other_ids
 FROM activities""")
 
+part("acts_now", """
+SELECT * REPLACE (CASE WHEN category = 'unknown' AND members = 1 THEN 'reading' ELSE category END AS category,
+  CASE WHEN category = 'unknown' AND members = 1 THEN 1.0::DOUBLE ELSE confidence END AS confidence,
+  CASE WHEN category = 'unknown' AND members = 1 THEN 'user' ELSE source END AS source,
+  CASE WHEN category = 'unknown' AND members = 1 THEN activity_id || '+' ELSE activity_id END AS activity_id)
+FROM acts""")
+
 # --- unions and sweeps ----------------------------------------------------------------------
 part("spans", """
 SELECT user_id, local_date, start_us, end_us FROM coverage WHERE state IN ('TRACKED','IDLE')

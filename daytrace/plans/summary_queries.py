@@ -90,7 +90,7 @@ FROM (SELECT *, category = 'unknown' AND members = 1 AS hit FROM acts)
 UNION ALL SELECT activity_id || '+', 'reading', 1.0, 'user', NULL FROM acts WHERE category = 'unknown' AND members = 1""")
 def _(c):
     """Correct every lone unknown activity to reading; the old row stays, marked."""
-    acts = stage(c.plan.activities)
+    acts = c.plan.activities
     fixes = acts.filter("category = 'unknown' and members = 1").select(
         "activity_id", F.lit("reading").alias("corrected_category")
     )
@@ -368,7 +368,7 @@ query("m14_domain_totals", f"""SELECT user_id, {DAY}, app_key, sum(end_us - star
 part("h_cat_r", """
 SELECT user_id, local_date, label AS category, CAST(round_even(sum(duration_us)::BIGINT / 60000000.0::DOUBLE, 0) AS BIGINT) AS minutes, count(*) AS sessions,
  round_even(sum(CAST(round_even(confidence * 1000000000, 0) AS BIGINT))::BIGINT / count(*) / 1000000000.0::DOUBLE * 100.0::DOUBLE, 0) / 100.0::DOUBLE AS avg_confidence
-FROM acts a JOIN dim_cat d USING (category) WHERE NOT is_system GROUP BY user_id, local_date, label""")
+FROM acts_now a JOIN dim_cat d USING (category) WHERE NOT is_system GROUP BY user_id, local_date, label""")
 part("h_cat", """
 SELECT user_id, local_date, rank, category, minutes, CASE WHEN sm > 0 THEN round_even(minutes / sm * 100.0::DOUBLE, 0) / 100.0::DOUBLE ELSE 0.0::DOUBLE END AS share, sessions, avg_confidence
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id, local_date ORDER BY minutes DESC, category) AS rank FROM h_cat_r)
@@ -399,7 +399,7 @@ FROM (SELECT d.user_id, d.local_date, goal_id, name, priority, target_weekly_min
 JOIN goal_win t ON t.user_id = g.user_id AND t.goal_id = g.goal_id AND t.local_date = g.local_date AND t.window_days = 1
 JOIN goal_win w ON w.user_id = g.user_id AND w.goal_id = g.goal_id AND w.local_date = g.local_date AND w.window_days = 7""")
 query("h1_summary_categories", f"SELECT user_id, {DAY}, rank, category, minutes, share, sessions, avg_confidence FROM h_cat")(
-    lambda c: su.category_summary(c.plan.activities, tm.taxonomy(c.spark), c.plan.metrics)
+    lambda c: su.category_summary(c.plan.current, tm.taxonomy(c.spark), c.plan.metrics)
 )
 query("h2_top_attention", f"SELECT user_id, {DAY}, rank, category, bucket, sessions FROM h_att")(
     lambda c: su.top_attention(c.plan.classified, tm.taxonomy(c.spark))
@@ -453,7 +453,7 @@ def documents(c):
     )
     return su.document(
         metrics,
-        su.category_summary(acts, tax, metrics, su.MAX_CATEGORIES),
+        su.category_summary(plan.current, tax, metrics, su.MAX_CATEGORIES),
         su.top_attention(plan.classified, tax, su.MAX_ATTENTION),
         su.focus_summary(plan.focus),
         su.goal_summary(active, windows),
@@ -498,9 +498,9 @@ def analyses(c):
 
 
 query("v1_day_view", f"""SELECT user_id, {DAY}, category, total_us, sessions, coverage_ratio, screen_time_s FROM metrics JOIN (
- SELECT user_id, local_date, category, sum(duration_us)::BIGINT AS total_us, count(*) AS sessions FROM acts GROUP BY ALL) USING (user_id, local_date)""")(
+ SELECT user_id, local_date, category, sum(duration_us)::BIGINT AS total_us, count(*) AS sessions FROM acts_now GROUP BY ALL) USING (user_id, local_date)""")(
     lambda c: c.plan.metrics.select(*USER_DAY, "coverage_ratio", "screen_time_s").join(
-        c.plan.activities.groupBy(*USER_DAY, "category").agg(
+        c.plan.current.groupBy(*USER_DAY, "category").agg(
             F.sum("duration_us").alias("total_us"), F.count(F.lit(1)).alias("sessions")
         ),
         USER_DAY,
@@ -529,11 +529,11 @@ def per_device(plan):
 
 
 query("v3_timeline_unified", f"""
-SELECT activity_id, {DAY}, label, start_us, end_us, is_cross_device, app_keys FROM acts JOIN dim_cat USING (category) JOIN (
+SELECT activity_id, {DAY}, label, start_us, end_us, is_cross_device, app_keys FROM acts_now JOIN dim_cat USING (category) JOIN (
  SELECT activity_id, array_to_string(list_sort(list(DISTINCT c.app_key)), ',') AS app_keys
- FROM (SELECT activity_id, unnest(session_ids) AS session_id FROM acts) a JOIN classified c USING (session_id) GROUP BY activity_id) USING (activity_id)""")(
-    lambda c: c.plan.activities.join(tm.taxonomy(c.spark), "category")
-    .join(activity_apps(c.plan), "activity_id")
+ FROM (SELECT activity_id, unnest(session_ids) AS session_id FROM acts_now) a JOIN classified c USING (session_id) GROUP BY activity_id) USING (activity_id)""")(
+    lambda c: c.plan.current.join(tm.taxonomy(c.spark), "category")
+    .join(activity_apps(c.plan, c.plan.current), "activity_id")
     .select("activity_id", "local_date", "label", "start_us", "end_us", "is_cross_device", "app_keys")
 )
 query("v4_focus_list", f"SELECT user_id, {DAY}, label, start_us, end_us, is_deep FROM focus JOIN dim_cat USING (category)")(

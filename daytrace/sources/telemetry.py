@@ -175,6 +175,15 @@ def corrections(ev: DataFrame) -> DataFrame:
     )
 
 
+def activity_corrections(acts: DataFrame) -> DataFrame:
+    """Corrections of activities: every lone unknown one was first filed under admin, then under reading."""
+    lone = acts.filter("category = 'unknown' and members = 1")
+    again = F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.lit("admin").alias("to")), F.struct(F.lit(2).alias("seq"), F.lit("reading").alias("to"))))
+    return lone.select("activity_id", (F.col("end_us") + 1).alias("us"), again.alias("c")).select(
+        "activity_id", F.col("c.to").alias("corrected_category"), "us", "c.seq"
+    )
+
+
 def goals(ev: DataFrame) -> DataFrame:
     """Three goals per user: by category, by app, and by both at once."""
     g = F.explode(
@@ -243,4 +252,5 @@ def sample_plan(spark: SparkSession, sf_dir: str):
         rules=user_rules(ev),
         learned=learned_priors(ev),
         enrolled=enrolled_phones(ev),
+        corrections=lambda plan: activity_corrections(plan.activities),
     )

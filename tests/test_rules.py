@@ -12,6 +12,9 @@ from daytrace.operators import focus as fo
 from daytrace.operators import intervals as iv
 from daytrace.operators import metrics as me
 from daytrace.operators import patterns as pa
+from daytrace.plans.day import DayPlan
+from daytrace.sources import telemetry as tm
+from pyspark.sql import functions as F
 
 TH = replace(Thresholds(), chunk_s=600)
 MIN = 60
@@ -277,3 +280,20 @@ def test_quantiles_by_refinement(spark, case):
             at = p * (len(flat) - 1)
             low, high = flat[int(at)], flat[-int(-at // 1)]
             assert mine == pytest.approx(low + (high - low) * (at - int(at)), rel=1e-9, abs=1e-5)
+
+
+def test_corrections_survive_a_recompute(spark):
+    sample = tm.sample_plan(spark, "/root/testdata/sf0.001")
+    acts = sample.activities
+    first, second, other = [r.activity_id for r in acts.orderBy("activity_id").select("activity_id").limit(3).collect()]
+    log = spark.createDataFrame(
+        [(first, "writing", 5, 1), (first, "admin", 5, 2), (second, "admin", 9, 1), (second, "reading", 3, 7), ("gone", "admin", 1, 1)],
+        "activity_id string, corrected_category string, us long, seq long",
+    )
+    for _ in range(2):  # every plan computes its activities anew
+        run = DayPlan(sample.events, sample.seeds, sample.th, rules=sample.rules, learned=sample.learned, corrections=lambda _: log)
+        now = {r.activity_id: r for r in run.current.collect()}
+        assert len(now) == acts.count()
+        assert (now[first + "+"].category, now[first + "+"].confidence, now[first + "+"].source) == ("admin", 1.0, "user")
+        assert now[second + "+"].category == "admin" and first not in now and other in now
+        assert run.activities.filter(F.col("activity_id") == first).count() == 1
