@@ -24,35 +24,43 @@ def learn_dictionaries(
     row_key: str = "doc_id",
     dictionary_bytes: int = 262_144,
     snippet: int = 256,
-    languages: int = 256,
+    all_bytes: int = 67_108_864,
 ) -> dict[str, bytes]:
-    """Raw-content dictionaries, one per language, from a bounded sample of labelled rows.
-
-    For each of the (at most ``languages`` most frequent) labels, about 4 * dictionary_bytes / snippet
-    rows are drawn by a hash of ``row_key`` and text, never more than 8 * dictionary_bytes / snippet; each gives ``snippet`` characters from a place that the hash
-    sets, and the first ``dictionary_bytes`` of them in hash order, in lower case, form the dictionary.
-    That is all that reaches the driver.  Rows with a null or empty text or a null label teach nothing.
+    """Raw-content dictionaries, one for every label, from a bounded sample of labelled rows.
+
+    A label's dictionary has at most ``dictionary_bytes``, and less where there are so many labels that
+    all of them together would pass ``all_bytes``; with more than all_bytes / snippet labels an error is
+    raised.  About 4 times the bytes of a dictionary / snippet rows are drawn per label by a hash of
+    ``row_key`` and text, never more than twice that; each gives ``snippet`` characters from a place that
+    the hash sets, and the first bytes of them in hash order, in lower case, form the dictionary.  That is
+    all that reaches the driver.  Rows with a null or empty text or a null label teach nothing.
     """
-    known = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0))
-    counts = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(languages).toPandas()
-    if not len(counts):
+    known = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(
+        F.col(lang).alias("lang"), F.col(row_key).alias("key"), F.col(text).alias("text")
+    )
+    counts = known.groupBy("lang").count()
+    labels = counts.count()
+    if not labels:
         return {}
-    rows = 4 * dictionary_bytes // snippet
-    draw = F.xxhash64(F.lit("sample"), F.col(row_key), F.col(text))
-    rate = F.lit(0.0)
-    for label, n in zip(counts[lang], counts["count"]):
-        rate = F.when(F.col(lang) == label, F.lit(min(1.0, rows / n))).otherwise(rate)
-    place = F.pmod(draw, F.greatest(F.length(text) - snippet + 1, F.lit(1)))
+    if labels > all_bytes // snippet:
+        raise ValueError(f"{labels} labels in {lang}: more than {all_bytes // snippet} cannot be learned within all_bytes")
+    share = min(dictionary_bytes, all_bytes // labels)
+    rows = max(1, 4 * share // snippet)
+    draw = F.xxhash64(F.lit("sample"), "key", "text")
+    place = F.pmod("draw", F.greatest(F.length("text") - snippet + 1, F.lit(1)))
+    chance = F.least(F.lit(1.0), F.lit(rows) / F.col("count"))
     sample = (
-        known.where(F.pmod(draw, F.lit(1 << 30)) < rate * (1 << 30))
-        .select(F.col(lang).alias("lang"), draw.alias("draw"), F.substring(text, place.cast("int") + 1, F.lit(snippet)).alias("s"))
+        known.withColumn("draw", draw)
+        .join(F.broadcast(counts), "lang")  # at most all_bytes / snippet rows, as checked
+        .where(F.pmod("draw", F.lit(1 << 30)) < chance * (1 << 30))
+        .select("lang", "draw", F.substring("text", place.cast("int") + 1, F.lit(snippet)).alias("s"))
     )
     # the bound also holds where many rows are equal; it is applied before the shuffle and after it
     first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "s"))
     sample = sample.withColumn("_n", first).where(F.col("_n") <= 2 * rows).drop("_n").toPandas()
     out = {}
     for label, part in sample.sort_values(["draw", "s"]).groupby("lang"):
-        out[label] = "\n".join(part["s"]).lower().encode()[:dictionary_bytes]
+        out[label] = "\n".join(part["s"]).lower().encode()[:share]
     return out
 
 

@@ -28,7 +28,8 @@ def assign_shards(
     """Puts every row into one of ``shards`` shards of near equal bytes (law ``bytes``).
 
     A row's size is the UTF-8 bytes of its text plus 1.  Its sort key is a hash of the text, then of
-    ``row_key``, so equal texts are neighbours.  Keys are sampled with a chance in proportion to
+    ``row_key`` and the row's number, so equal texts are neighbours and can be cut anywhere, also where
+    ids are null or repeated.  Keys are sampled with a chance in proportion to
     size (about ``samples`` of them, the bound on what the driver sees), their quantiles split the
     keys into ``ranges`` ranges, and a range that turns out to hold over twice its share of bytes or
     rows is split again by keys drawn inside it.  Ranges are then dealt to tasks; exact running sums
@@ -47,7 +48,7 @@ def assign_shards(
     made = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     kept = [c for c in keep if c not in made]
     head = F.xxhash64(F.col(text), F.col(text).isNull()).bitwiseAND(F.lit((1 << TEXT_BITS) - 1))
-    tail = F.xxhash64(F.lit("row"), F.col(row_key)).bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    tail = F.xxhash64(F.lit("row"), F.col(row_key), F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     slim = scratch.put(
         docs.select(
             *kept,

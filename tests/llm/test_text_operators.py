@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from daytrace.llm import langid, lines, minhash, mixing, packing, sharding, tokens
 from daytrace.llm.common import Scratch
 from tokenizers import Tokenizer
@@ -60,6 +61,15 @@ def test_shards_of_awkward_rows(spark, scratch):
     assert not sharding.assign_shards(empty(spark), scratch).take(1)
 
 
+def test_shards_of_one_text_without_ids(spark, scratch):
+    rows = [(None, "same" * 10)] * 4000 + [(i, f"own {i}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sharding.assign_shards(docs, scratch).toPandas()
+    by = got.groupby("shard")["size"].sum()
+    assert len(by) == 8 and by.max() - by.min() <= 0.02 * by.mean() + 41
+    assert all(sorted(part) == list(range(len(part))) for _, part in got.groupby("shard")["slot"])
+
+
 def test_written_shards(spark, scratch):
     docs = documents(spark).drop("shard", "slot")
     sharding.write_shards(docs, f"{scratch.folder}/shards", scratch, shards=3)
@@ -225,6 +235,37 @@ def test_labels_of_rows_without_or_with_one_id_are_learned(spark):
     assert all(20 < known[k].count(b"\n") < 129 for k in ("aa", "bb"))
 
 
+def test_no_label_is_left_out(spark):
+    rows = [(i, f"word{i % 300} of {i}", f"l{i % 300:03}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = langid.learn_dictionaries(docs, all_bytes=300 * 64, snippet=16)
+    assert set(known) == {f"l{i:03}" for i in range(300)} and all(len(d) <= 64 for d in known.values())
+    with pytest.raises(ValueError, match="300 labels in lang"):
+        langid.learn_dictionaries(docs, all_bytes=299 * 16, snippet=16)
+
+
+def test_labels_and_scores_are_those_of_plain_zstandard(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    known = langid.learn_dictionaries(docs.where(~langid.held_out()))
+    got = {r.doc_id: r for r in langid.identify(docs, known).collect()}
+    level, block = 6, 4096
+    for r in docs.collect():
+        if r.text is None or not any(ch.isalpha() for ch in r.text):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        raw = r.text.lower().encode()
+        sizes = {}
+        for name in sorted(known):
+            held = zstandard.ZstdCompressionDict(known[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            held.precompute_compress(level=level)
+            press = zstandard.ZstdCompressor(dict_data=held, write_content_size=False, write_dict_id=False)
+            sizes[name] = sum(len(press.compress(raw[i : i + block])) for i in range(0, len(raw), block))
+        best = min(sizes, key=lambda k: (sizes[k], k))
+        other = min(v for k, v in sizes.items() if k != best)
+        assert got[r.doc_id].lang_pred == best
+        assert got[r.doc_id].score == pytest.approx(1 - sizes[best] / other, abs=1e-12)
+
+
 # 7: mixing --------------------------------------------------------------------------------------
 
 
@@ -307,25 +348,22 @@ def test_rows_without_or_with_one_id_are_mixed_one_by_one(spark, scratch):
 
 
 def expected_lines(rows, min_sites):
-    sites, first = defaultdict(set), {}
-    for doc, text, site in rows:
+    sites, copies = defaultdict(set), defaultdict(list)
+    for n, (doc, text, site) in enumerate(rows):
         for pos, line in enumerate((text or "").split("\n") if text is not None else []):
             if line.strip():
                 sites[line].add(site)
-                key = (doc is not None, doc or 0, pos)
-                first[line] = min(first.get(line, key), key)
+                copies[line].append((doc is not None, doc or 0, n, pos))
+    common = {line for line in sites if len(sites[line] - {None}) >= min_sites}
+    first = {line: min(copies[line])[2:] for line in common}
     out = []
-    for doc, text, _ in rows:
+    for n, (doc, text, _) in enumerate(rows):
         if text is None:
             out.append((doc, None, 0, 0))
             continue
-        keep = []
-        for pos, line in enumerate(text.split("\n")):
-            common = len(sites[line] - {None}) >= min_sites if line.strip() else False
-            if not common or first[line] == (doc is not None, doc or 0, pos):
-                keep.append(line)
-        n = len(text.split("\n"))
-        out.append((doc, "\n".join(keep), n, n - len(keep)))
+        cut = text.split("\n")
+        keep = [line for pos, line in enumerate(cut) if line not in common or first[line] == (n, pos)]
+        out.append((doc, "\n".join(keep), len(cut), len(cut) - len(keep)))
     return sorted(out, key=repr)
 
 
@@ -344,6 +382,22 @@ def test_lines_of_many_sites_go(spark, scratch, min_sites):
     assert have == expected_lines(rows, min_sites)
 
 
+def test_lines_of_rows_without_or_with_one_id(spark, scratch):
+    """Every row is a document: one copy of the line stays in all, whatever the keys."""
+    rows = [(None, f"top\nown {i}\ntop", f"s{i}", 1, 2, "x") for i in range(12)]
+    rows += [(7, f"own {i}\ntop\nmiddle", f"s{i}", 1, 2, "x") for i in range(12)]
+    rows += [(None, "top\nown 3\ntop", "s3", 1, 2, "x")] * 40
+    schema = "doc_id long, text string, source string, pos int, _of int, site string"
+    docs = spark.createDataFrame(rows, schema).repartition(4)
+    out = lines.dedup_lines(docs, scratch).collect()
+    assert len(out) == len(rows)
+    left = Counter(line for r in out for line in r.text.split("\n"))
+    assert left["top"] == 1 and left["middle"] == 1 and left["own 3"] == 42 and left["own 5"] == 2
+    assert sum(r.removed for r in out) == 12 * 2 + 12 * 2 + 80 - 2
+    assert next(r for r in out if "top" in r.text).doc_id is None
+    assert all(r.lines == 3 and r["_of"] == 2 and r.site == "x" for r in out)
+
+
 def test_lines_of_nothing(spark, scratch):
     assert not lines.dedup_lines(empty(spark), scratch).take(1)
 
