@@ -69,7 +69,20 @@ def event_stream(c):
 def _(c):
     """The attribution state machine over the file stream, with wake reconciliation."""
     sig = at.signals(event_stream(c).filter("platform = 'browser'"))
-    return jobs.drain(state.stream_attribution(sig, WAKE), "attribution", fresh(c))
+    path = fresh(c)
+    return jobs.drain(attribution_of_stream(sig, path), "attribution", path)
+
+
+def attribution_of_stream(sig, path, delay_days=7):
+    """Focus events of a stream of signals; one signal far ahead moves the watermark past all others."""
+    ahead = sig.sparkSession.createDataFrame(
+        [(-1, 0, 4102488000 * US, 0, "heartbeat", None, None, None)],
+        "user_id long, device_id int, us long, seq long, kind string, domain string, focused boolean, active boolean",
+    ).select(*[F.col(f.name).cast(f.dataType) for f in sig.schema.fields])
+    ahead.write.parquet(f"{path}/closing")
+    closing = sig.sparkSession.readStream.schema(ahead.schema).parquet(f"{path}/closing")
+    rows = sig.unionByName(closing).withColumn("ts", F.timestamp_micros("us"))
+    return state.stream_attribution(rows.withWatermark("ts", f"{delay_days} days"), WAKE)
 
 
 @query("s3_stream_ingest", """

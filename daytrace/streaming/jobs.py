@@ -10,6 +10,7 @@ from daytrace.config import US, Thresholds
 from daytrace.operators import ingest as ing
 from daytrace.sources.store import EventStore, MarkQueue
 from daytrace.sources.tables import create_table
+from daytrace.streaming.state import STORE
 
 EVENT_TABLE = (
     "event_id string, device_id string, user_id bigint, batch_id string, us bigint, seq bigint, type string, "
@@ -27,19 +28,30 @@ ANSWER_TABLE = (
 LEDGER_BUCKETS = 64
 
 
-def drain(df: DataFrame, name: str, path: str) -> DataFrame:
-    """Run a stream over everything available into a Parquet table and read it back."""
-    out = f"{path}/{name}"
-    query = (
-        df.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", out)
-        .option("checkpointLocation", f"{path}/{name}-checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+def run(df: DataFrame, name: str, path: str) -> StreamingQuery:
+    """Run a stream over everything available into the Parquet table ``path``/``name``, until it is done."""
+    spark, key = df.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, STORE)
+    try:
+        query = (
+            df.writeStream.format("parquet")
+            .outputMode("append")
+            .option("path", f"{path}/{name}")
+            .option("checkpointLocation", f"{path}/{name}-checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        spark.conf.set(key, before)
     query.awaitTermination()
-    return df.sparkSession.read.schema(df.schema).parquet(out)
+    return query
+
+
+def drain(df: DataFrame, name: str, path: str) -> DataFrame:
+    """What ``run`` has written."""
+    run(df, name, path)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
 
 
 def ingest_stream(

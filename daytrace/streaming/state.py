@@ -2,53 +2,124 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor
 
 from daytrace.config import US, Thresholds
 
-
-def stream_attribution(signals: DataFrame, wake_bound_us: int | None = None) -> DataFrame:
-    """Focus events from a stream of signals, one state per device.
-
-    Rows of a micro-batch are taken in (us, seq) order; a device's batches must arrive in order.
-    """
-
-    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        domain, focused, active, seen = state.get if state.exists else ("", False, True, 0)
+#: State stores that can append to a list without rewriting it (see ``jobs.run``).
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Attribution(StatefulProcessor):
+    """Signals wait in a list until the watermark passes them, then move the device's state in order."""
+
+    columns = ["user_id", "device_id", "us", "type", "domain"]
+
+    def __init__(self, wake_bound_us: int | None):
+        self.bound = wake_bound_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState(
+            "waiting", "us bigint, seq bigint, kind string, domain string, focused boolean, active boolean"
+        )
+        self.now = handle.getValueState("now", "domain string, focused boolean, active boolean, seen bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest = 0
+        for frame in rows:
+            add = _tuples(frame, ["us", "seq", "kind", "domain", "focused", "active"])
+            newest = max(newest, *(r[0] for r in add))
+            self.waiting.appendList(add)
+        self.handle.registerTimer(-(-newest // 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.waiting.get(), key=lambda r: r[:2])
+        due = [r for r in rows if r[0] <= passed]
+        later = rows[len(due):]
+        if due and later:
+            self.waiting.put(later)
+        elif due:
+            self.waiting.clear()
+        domain, focused, active, seen = self.now.get() if self.now.exists() else ("", False, True, 0)
+        shown = domain if focused and active else ""
         out = []
-        rows = pd.concat(frames).sort_values(["us", "seq"])
-        for us, kind, d, f, a in zip(
-            rows["us"], rows["kind"], rows["domain"], rows["focused"], rows["active"]
-        ):
-            if wake_bound_us is not None and seen and us - seen > wake_bound_us:
-                if domain and focused and active:
-                    out.append((*key, seen, "DOMAIN_FOCUS_END", domain))
-                domain, focused, active = "", False, True
-            before, was = domain, bool(domain and focused and active)
+        for us, _, kind, d, f, a in due:
+            if self.bound is not None and seen and us - seen > self.bound:
+                if shown:
+                    out.append((*key, seen, "DOMAIN_FOCUS_END", shown))
+                domain, focused, active, shown = "", False, True, ""
             if kind == "tab":
                 domain = d or ""
             elif kind == "focus":
                 focused = bool(f)
             elif kind == "idle":
                 active = bool(a)
-            now = bool(domain and focused and active)
-            if was and (not now or before != domain):
-                out.append((*key, int(us), "DOMAIN_FOCUS_END", before))
-            if now and (not was or before != domain):
-                out.append((*key, int(us), "DOMAIN_FOCUS_START", domain))
-            seen = int(us)
-        state.update((domain, focused, active, seen))
-        yield pd.DataFrame(out, columns=["user_id", "device_id", "us", "type", "domain"])
-
-    return signals.groupBy("user_id", "device_id").applyInPandasWithState(
-        step,
+            before, shown = shown, domain if focused and active else ""
+            if before != shown:
+                out += [(*key, us, "DOMAIN_FOCUS_END", before)] if before else []
+                out += [(*key, us, "DOMAIN_FOCUS_START", shown)] if shown else []
+            seen = us
+        forgets = None if self.bound is None or not seen else seen + self.bound
+        if not shown and not later and (not seen or (forgets is not None and forgets <= passed)):
+            self.now.clear()  # the next signal starts anew in any case
+        elif due:
+            self.now.update((domain, focused, active, seen))
+            if forgets is not None and not shown:
+                self.handle.registerTimer(forgets // 1000 + 1)
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
+
+
+class _Sessions(StatefulProcessor):
+    """The events of a device-day are appended to a list; a timer at the day's end cuts them into sessions."""
+
+    def __init__(self, cut: Callable[[Iterable[tuple]], list[tuple]], columns: list[str]):
+        self.cut, self.columns = cut, columns
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.events = handle.getListState("events", "us bigint, seq bigint, type string, key string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            self.events.appendList(_tuples(frame, ["us", "seq", "type", "key"]))
+        self.handle.registerTimer(int(frame["day_end_us"].iloc[0] // 1000))  # one timer, however often it is set
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = self.cut(self.events.get())
+        self.events.clear()
+        if out:
+            yield pd.DataFrame([(*key, *s) for s in out], columns=self.columns)
+
+
+def _tuples(frame: pd.DataFrame, columns: list[str]) -> list[tuple]:
+    """Rows as plain values, missing ones as None."""
+    part = frame[columns].astype(object)
+    return list(part.where(part.notna(), None).itertuples(index=False, name=None))
+
+
+def stream_attribution(signals: DataFrame, wake_bound_us: int | None = None) -> DataFrame:
+    """Focus events from a stream of signals, one state per device.
+
+    ``signals`` needs an event-time column ``ts`` with a watermark.  Rows may come in any order until the
+    watermark passes them: they are held, then taken in (us, seq) order.  The state of a device is what
+    is held and four values; with ``wake_bound_us`` it ends once the watermark is that far past the last
+    signal, unless a domain is still in focus, whose end the next signal gives.  Spark drops rows behind the
+    watermark before they get here; ``jobs.split_late`` diverts them.  Run it by ``jobs.run``.
+    """
+    return signals.groupBy("user_id", "device_id").transformWithStateInPandas(
+        _Attribution(wake_bound_us),
         "user_id long, device_id int, us long, type string, domain string",
-        "domain string, focused boolean, active boolean, seen long",
-        "append",
-        "NoTimeout",
+        "Append",
+        "EventTime",
     )
 
 
@@ -56,9 +127,10 @@ def stream_sessions(events: DataFrame, th: Thresholds) -> DataFrame:
     """App sessions from a stream, one state per device-day.
 
     ``events`` needs day_end_us and an event-time column ``ts`` with a watermark.  Rows may come in
-    any order until the watermark passes the day's end: they are held, then cut into sessions in
-    (us, seq) order, and the state is dropped.  Spark drops rows behind the watermark before they get
-    here; ``jobs.split_late`` diverts them.
+    any order until the watermark passes the day's end: a micro-batch appends its own rows to the state,
+    what is there is not written again.  A timer at the day's end cuts them into sessions in (us, seq)
+    order and ends the state.  Spark drops rows behind the watermark before they get here;
+    ``jobs.split_late`` diverts them.  Run it by ``jobs.run``.
     """
     from daytrace.operators.sessions import APP
 
@@ -101,27 +173,10 @@ def stream_sessions(events: DataFrame, th: Thresholds) -> DataFrame:
             held = finish(held, app, start, count, last, True, out)
         return [*out, held] if held else out
 
-    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = [list(c) for c in state.get] if state.exists else [[], [], [], []]
-        out = []
-        if state.hasTimedOut:
-            out = sessions(zip(*held))
-            state.remove()
-        else:
-            rows = pd.concat(frames)
-            held[0] += [int(x) for x in rows["us"]]
-            held[1] += [int(x) for x in rows["seq"]]
-            held[2] += [str(x) for x in rows["type"]]
-            held[3] += [None if pd.isna(x) else str(x) for x in rows["key"]]
-            state.update(tuple(held))
-            state.setTimeoutTimestamp(int(rows["day_end_us"].iloc[0] // 1000))
-        yield pd.DataFrame([(*key, *s) for s in out], columns=cols)
-
-    return events.groupBy("user_id", "device_id", "local_date").applyInPandasWithState(
-        step,
+    return events.groupBy("user_id", "device_id", "local_date").transformWithStateInPandas(
+        _Sessions(sessions, cols),
         "user_id long, device_id int, local_date date, app_key string, start_us long, end_us long, "
         "interactions long, truncated boolean, merged_from long",
-        "us array<long>, seq array<long>, type array<string>, key array<string>",
-        "append",
-        "EventTimeTimeout",
+        "Append",
+        "EventTime",
     )

@@ -5,13 +5,14 @@ import json
 import uuid
 from collections import Counter
 
-from daytrace.config import Thresholds
+from daytrace.config import US, Thresholds
+from daytrace.operators import attribution as at
 from daytrace.operators import sessions as se
-from daytrace.plans.stream_queries import sessions_of_stream
+from daytrace.plans.stream_queries import WAKE, sessions_of_stream
 from daytrace.sources import telemetry as tm
 from daytrace.sources import store as store_mod
 from daytrace.sources.tables import checkpoint_dir
-from daytrace.streaming import jobs
+from daytrace.streaming import jobs, state
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -35,6 +36,35 @@ def test_sessions_of_late_and_disordered_events(spark):
     assert on_time + spark.read.parquet(f"{base}/run/late").count() == ev.count()
 
 
+def test_attribution_of_disordered_files_and_its_state(spark):
+    """Files by time with rows of one file in the next give the batch operator's rows; what is left of the
+    state are devices with a domain in focus and the row far ahead."""
+    ev = tm.view(spark.read.parquet(f"{SF}/events.parquet")).filter("platform = 'browser'")
+    sig = at.signals(ev)
+    base = f"{checkpoint_dir(spark)}/signals-{uuid.uuid4().hex}"
+    day = F.floor(F.col("us") / (5 * 86_400 * US))
+    first = sig.agg(F.min(day)).first()[0]
+    place = F.least(F.lit(5), day - first + (F.col("seq") % 3 == 0).cast("int"))
+    rows = sig.withColumn("place", place).persist()
+    for k in sorted(r.place for r in rows.select("place").distinct().collect()):
+        rows.filter(F.col("place") == k).drop("place").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(sig.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    last = rows.drop("place").limit(1).withColumns(
+        {"user_id": F.lit(-1).cast("long"), "us": F.lit(4102488000 * US).cast("long"), "kind": F.lit("heartbeat")}
+    )
+    last.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    late = stream.withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", "7 days")
+    query = jobs.run(state.stream_attribution(late, WAKE), "out", base)
+    got = spark.read.parquet(f"{base}/out")
+    want = at.attribute(sig, tm.SAMPLE, WAKE).select(*got.columns)
+    assert Counter(map(str, got.collect())) == Counter(map(str, want.collect()))
+    on = got.groupBy("user_id", "device_id").agg(
+        F.sum(F.when(F.col("type") == "DOMAIN_FOCUS_START", 1).otherwise(-1)).alias("open")
+    ).filter("open > 0").count()
+    left = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    assert left <= on + 2
+
+
 def _line(seq, ms=1_704_088_800_000, **more):
     return json.dumps({
         "event_id": str(seq), "device_id": "1:0", "seq": seq, "ts_utc": ms + seq * 1000, "tz_offset_min": 0, "tz_id": "UTC",
