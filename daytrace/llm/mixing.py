@@ -66,12 +66,14 @@ def mix(
     the stretch is cut into blocks of ``block`` words (the last of each pass is shorter).  A source needs
     as many blocks as hold its target.  Slot n of the mixture is the n-th golden-ratio point mapped
     through the cumulated needs of all sources; slots of a source are ranked, and its k-th slot takes its
-    k-th block.  Where a few points too many or too few fall on a source, slots beyond its need are
-    void and missing ones follow at the end, so each source gives its target to the word (rounded down).
-
-    Returns two frames.  The mixture: slot, source, pass, block, row (a document's number), from_word, to_word
-    (of the document).  The documents: row, doc_id (``row_key``), size (words), source_size, target,
-    taken (words, repeats counted; at most ``most`` times the size).  Words are runs of other than ASCII
+    k-th block.  Where a few points too many fall on a source, its last slots pass, in order, to the sources
+    on which too few fall.  So slots 0 .. n - 1 hold one block each, and each source gives its target to
+    the word (rounded down).
+
+    Returns two frames.  The mixture: slot, source, pass, block, row (a document's number), size (its words),
+    from_word, to_word (of the document).  The documents: row, doc_id (``row_key``), size (words), source_size,
+    target, taken (words, repeats counted; at most ``most`` times the size), first_slot (null where nothing is
+    taken) and n_slots (parts of it in the mixture).  Words are runs of other than ASCII
     white space; a null or empty text has size 0 and is never taken.  Null sources are one source.
     Documents with equal keys are neighbours, by size, then by the digest of their text, then by row.
     Repeated rows are documents of their own.  ``row`` names a column of distinct numbers, one a row, that
@@ -149,20 +151,33 @@ def mix(
     lo = F.greatest(F.col("at"), F.col("block") * block)
     hi = F.least(F.col("at") + F.col("size"), F.col("block") * block + F.col("_words"))
     mixture = taken.join(spans, on).where(hi > lo).select(
-        "slot", "source", "pass", "block", "row", (lo - F.col("at")).alias("from_word"), (hi - F.col("at")).alias("to_word")
+        "slot", "source", "pass", "block", "row", "size", (lo - F.col("at")).alias("from_word"), (hi - F.col("at")).alias("to_word")
+    )
+    used = mixture.groupBy(F.col("row").alias("_row")).agg(
+        F.sum(F.col("to_word") - F.col("from_word")).alias("taken"),
+        F.min("slot").alias("first_slot"),
+        F.count("*").alias("n_slots"),
     )
-    used = mixture.groupBy(F.col("row").alias("_row")).agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
     per_source = targets.select(F.col("source").alias("_s"), "source_size", "target")
     result = (
         placed.join(used, F.col("row") == F.col("_row"), "left")
         .join(per_source, F.col("source").eqNullSafe(F.col("_s")))
-        .select("row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+        .select(
+            "row",
+            "doc_id",
+            "size",
+            "source_size",
+            "target",
+            F.coalesce("taken", F.lit(0)).alias("taken"),
+            "first_slot",
+            F.coalesce("n_slots", F.lit(0)).alias("n_slots"),
+        )
     )
     return mixture, result
 
 
 def _schedule(t: DataFrame, scratch: Scratch) -> DataFrame:
-    """slot, source and k (its number among the source's slots) for all needed blocks."""
+    """slot, source and k (its number among the source's slots) for all needed blocks: each slot holds one."""
     spark = scratch.spark
     n = t.agg(F.coalesce(F.sum("need"), F.lit(0))).first()[0]
     tile = max(1, n // 4096)
@@ -170,47 +185,49 @@ def _schedule(t: DataFrame, scratch: Scratch) -> DataFrame:
         F.col("id").alias("slot"),
         F.expr(f"cast(((cast(id as decimal(20,0)) * {GOLDEN}BD) % {UNIT}BD) * {n}BD div {UNIT}BD as bigint)").alias("x"),
     )
-    points = points.withColumn("_tile", F.expr(f"x div {tile}"))
-    stretch = t.select(
-        "source",
-        "lo",
-        (F.col("lo") + F.col("need")).alias("hi"),
-        "need",
-        F.explode(F.sequence(F.expr(f"lo div {tile}"), F.expr(f"(lo + need - 1) div {tile}"))).alias("_tile"),
+    # every place of the cumulated needs and its source, unfolded in tiles so that no array holds a hot source
+    tiles = t.select(
+        "source", "lo", "need", F.explode(F.sequence(F.expr(f"lo div {tile}"), F.expr(f"(lo + need - 1) div {tile}"))).alias("_tile")
     )
-    hit = points.join(stretch, "_tile").where((F.col("x") >= F.col("lo")) & (F.col("x") < F.col("hi")))
-    hit = scratch.put(hit.select("slot", "source", F.col("lo").alias("_of"), F.expr(f"slot div {CHUNK}").alias("_chunk")))
+    first = F.greatest(F.col("lo"), F.col("_tile") * tile)
+    last = F.least(F.col("lo") + F.col("need"), (F.col("_tile") + 1) * tile) - 1
+    places = tiles.select("source", F.col("lo").alias("_of"), "need", F.explode(F.sequence(first, last)).alias("x"))
+    hit = scratch.put(points.join(places, "x").select("slot", "source", "_of", "need", F.expr(f"slot div {CHUNK}").alias("_chunk")))
     counts = hit.groupBy("_of", "_chunk").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy("_of").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select(
         F.col("_of").alias("_o"), F.col("_chunk").alias("_c"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_b")
     )
     local = Window.partitionBy("_of", "_chunk").orderBy("slot")
-    k = hit.withColumn("k", F.row_number().over(local) - 1).join(
+    k = hit.withColumn("_k", F.row_number().over(local) - 1).join(
         before, (F.col("_of") == F.col("_o")) & (F.col("_chunk") == F.col("_c"))
     )
-    k = k.select("slot", "source", "_of", (F.col("k") + F.col("_b")).alias("k"))
-    needs = t.select(F.col("lo").alias("_l"), "need")
-    good = k.join(needs, F.col("_of") == F.col("_l")).where("k < need").select("slot", "source", "k")
+    k = scratch.put(k.select("slot", "source", "need", (F.col("_k") + F.col("_b")).alias("k")))
+    over = ranked(k.where("k >= need").select("slot"), [F.col("slot")], scratch, "_rank")
     have = counts.groupBy("_of").agg(F.sum("_n").alias("_have"))
     short = t.join(have, F.col("lo") == F.col("_of"), "left").withColumn("_have", F.coalesce("_have", F.lit(0)))
-    missing = short.where("_have < need").select(
-        F.lit(n).alias("slot"), "source", F.explode(F.sequence(F.col("_have"), F.col("need") - 1)).alias("k")
+    short = short.where("_have < need").select(
+        "lo", "source", F.explode(F.sequence(F.col("_have"), F.col("need") - 1)).alias("k")
     )
-    return good.unionByName(missing)
+    short = ranked(short, [F.col("lo"), F.col("k")], scratch, "_rank")
+    moved = over.join(short, "_rank").select("slot", "source", "k")
+    return k.where("k < need").select("slot", "source", "k").unionByName(moved)
 
 
-def mixed_documents(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
-    """Whole documents as often as the mixture takes them: words taken over words, rounded half up.
-    Documents with no words are not part of a mixture.  Each row counts by itself, whatever its key: rows
-    are numbered once, in a table, and what the mixture takes of a row comes back by that number."""
+def mixed_documents(docs: DataFrame, scratch: Scratch, *, slot: str | None = None, **options) -> DataFrame:
+    """Whole documents as often as the mixture takes them: one copy for each pass that takes at least half of
+    the document's words.  Documents with no words are not part of a mixture.  Each row counts by itself,
+    whatever its key: rows are numbered once, in a table, and what the mixture takes of a row comes back by
+    that number.  ``slot`` names a column to add: the first slot of the copy in the schedule, to order by."""
     numbered = scratch.put(docs.withColumn("_row", F.monotonically_increasing_id()))
-    _, result = mix(numbered, scratch, row="_row", **options)
-    times = result.where("size > 0").select(
-        F.col("row").alias("_of"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_times")
-    )
-    return (
-        numbered.join(times.where("_times > 0"), F.col("_row") == F.col("_of"))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-        .select(*docs.columns)
-    )
+    mixture, _ = mix(numbered, scratch, row="_row", **options)
+    copies = mixture.groupBy(F.col("row").alias("_of"), "pass").agg(
+        F.sum(F.col("to_word") - F.col("from_word")).alias("_words"),
+        F.first("size").alias("_size"),
+        F.min("slot").alias("_slot"),
+    )
+    copies = copies.where("2 * _words >= _size").select("_of", "_slot")
+    out = [F.col(f"`{c}`") for c in docs.columns if c != slot]
+    if slot is not None:
+        out.append(F.col("_slot").alias(slot))
+    return numbered.join(copies, F.col("_row") == F.col("_of")).select(*out)

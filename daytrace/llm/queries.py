@@ -61,7 +61,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the mixture takes of each document."""
+    """What the mixture takes of each document, and where in the schedule."""
     _, result = mix(read(spark, sf_dir, "documents"), Scratch(spark, "op7"))
     return result.drop("row")
 
@@ -186,11 +186,35 @@ t as (
   select s.source, source_size, case when 3 * source_size * f.weight < s.weight * f.rest then cast(3 * source_size as double)
     else cast(s.weight * f.rest as double) / cast(f.weight as double) end as target from s, f),
 p as (
-  select d.*, coalesce(sum(size) over (partition by source order by h, doc_id, size rows between unbounded preceding and 1 preceding), 0) as start from d)
-select doc_id, size, source_size, target,
-  cast(case when source_size = 0 then 0 else size * (cast(floor(target) as bigint) // source_size)
-    + greatest(0, least(size, cast(floor(target) as bigint) % source_size - start)) end as bigint) as taken
-from p join t on p.source is not distinct from t.source""",
+  select d.*, coalesce(sum(size) over (partition by source order by h, doc_id, size rows between unbounded preceding and 1 preceding), 0) as start from d),
+u as (
+  select *, cast(floor(target) as bigint) as due, (source_size + 1023) // 1024 as blocks,
+    (cast(floor(target) as bigint) // source_size) * ((source_size + 1023) // 1024) + (cast(floor(target) as bigint) % source_size + 1023) // 1024 as need
+  from t where source_size > 0),
+a as (
+  select *, cast(coalesce(sum(need) over (order by source collate "binary" nulls last rows between unbounded preceding and 1 preceding), 0) as bigint) as lo
+  from u where need > 0),
+n as (select cast(coalesce(sum(need), 0) as bigint) as n from a),
+x as (
+  select i as slot, cast((((cast(i as hugeint) * 618033988749894848) % 1000000000000000000) * n) // 1000000000000000000 as bigint) as x
+  from (select n, unnest(range(n)) as i from n)),
+h as (
+  select slot, lo, need, row_number() over (partition by lo order by slot) - 1 as k from x join a on x.x >= lo and x.x < lo + need),
+v as (select slot, row_number() over (order by slot) as r from h where k >= need),
+m as (
+  select lo, k, row_number() over (order by lo, k) as r from (
+    select a.lo, unnest(range(coalesce(c.have, 0), a.need)) as k from a left join (select lo, count(*) as have from h group by lo) c on a.lo = c.lo)),
+sl as (select lo, k, slot from h where k < need union all select m.lo, m.k, v.slot from m join v on m.r = v.r),
+q as (
+  select doc_id, source, start, size, unnest(range(cast(start // 1024 as bigint), cast((start + size - 1) // 1024 + 1 as bigint))) as b from p where size > 0),
+mx as (
+  select q.doc_id, sl.slot,
+    least(q.start + q.size, q.b * 1024 + least(1024, a.source_size - q.b * 1024, a.due - (sl.k // a.blocks * a.source_size + q.b * 1024)))
+      - greatest(q.start, q.b * 1024) as words
+  from q join a on q.source is not distinct from a.source join sl on sl.lo = a.lo and sl.k % a.blocks = q.b),
+z as (select doc_id, cast(sum(words) as bigint) as taken, min(slot) as first_slot, count(*) as n_slots from mx where words > 0 group by doc_id)
+select p.doc_id, size, source_size, target, coalesce(taken, 0) as taken, first_slot, coalesce(n_slots, 0) as n_slots
+from p join t on p.source is not distinct from t.source left join z on p.doc_id = z.doc_id""",
     "op8_line_dedup": r"""
 with l as (
   select doc_id, source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos

@@ -304,17 +304,63 @@ def test_mixture_meets_targets(spark, scratch, block):
     assert all(abs(taken[s] - want[s]) < 1 for s in want)
     slots = mixture.collect()
     assert sum(r.to_word - r.from_word for r in slots) == sum(taken.values())
+    blocks = {(r.slot, r["source"], r["pass"], r.block) for r in slots}
+    assert sorted(b[0] for b in blocks) == list(range(len(blocks)))
+    for r in rows:
+        own = [s for s in slots if s.row == r.row]
+        assert (r.n_slots, r.first_slot) == (len(own), min((s.slot for s in own), default=None))
     again = mixing.mix(docs, scratch, block=block)[1]
     assert sorted(map(str, again.drop("row").collect())) == sorted(map(str, result.drop("row").collect()))
 
 
-def test_schedule_is_even(spark, scratch):
+def points_on(stretches, golden):
+    """Sources of slots 0 .. n - 1 by the plain rule; ``stretches`` are (source, blocks due) in order."""
+    n, left = sum(d for _, d in stretches), dict(stretches)
+    slots = [None] * n
+    for i in range(n):
+        x = i * golden % 10**18 * n // 10**18
+        for name, due in stretches:
+            if x < due:
+                break
+            x -= due
+        if left[name]:
+            slots[i], left[name] = name, left[name] - 1
+    rest = [name for name, _ in stretches for _ in range(left[name])]
+    return [s or rest.pop(0) for s in slots]
+
+
+def test_schedule_is_even(spark, scratch, monkeypatch):
     rows = [(i, " ".join(["w"] * 50), f"s{i % 4}") for i in range(400)]
-    mixture, _ = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), scratch, block=10)
-    words = Counter()
-    for r in mixture.where("slot < 500").collect():
-        words[r.source] += r.to_word - r.from_word
-    assert max(abs(words[s] / sum(words.values()) - w / 7) for s, w in zip(("s0", "s1", "s2", "s3"), (1, 2, 3, 1))) < 0.02
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = expected_targets({f"s{i}": 5000 for i in range(4)})
+    # passes of 500 blocks, then the blocks that the rest of the target needs
+    due = [(s, int(t) // 5000 * 500 + -(-(int(t) % 5000) // 10)) for s, t in sorted(targets.items())]
+
+    def of_slots():
+        mixture, _ = mixing.mix(docs, scratch, block=10)
+        return [s for _, s in sorted((r.slot, r["source"]) for r in mixture.select("slot", "source").distinct().collect())]
+
+    def unevenness(order):
+        return max(abs(order[:500].count(s) / 500 - w / 7) for s, w in zip(("s0", "s1", "s2", "s3"), (1, 2, 3, 1)))
+
+    order = of_slots()
+    assert order == points_on(due, int(mixing.GOLDEN)) and unevenness(order) < 0.02
+    # with all points on one place the sources follow each other
+    monkeypatch.setattr(mixing, "GOLDEN", "1")
+    constant = of_slots()
+    assert constant == points_on(due, 1) and unevenness(constant) > 0.4
+
+
+def test_copies_carry_their_slot(spark, scratch):
+    docs = documents(spark)
+    mixture, _ = mixing.mix(docs, scratch, block=7)
+    out = mixing.mixed_documents(docs, scratch, slot="slot", block=7)
+    assert sorted(out.columns) == sorted(docs.columns)  # the clashing column gives way
+    slots = {r.slot for r in mixture.select("slot").collect()}
+    copies = out.groupBy("doc_id", "text").count().where("doc_id is not null").collect()
+    assert copies and {r.slot for r in out.collect()} <= slots
+    one = out.where("doc_id = 5").select("slot").collect()
+    assert len({r.slot for r in one}) == len(one)
 
 
 def test_mixing_nothing(spark, scratch):
