@@ -34,6 +34,39 @@ def with_priors(
     )
 
 
+def with_domain_priors(sessions: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Attach seed priors to sessions whose ``app_key`` is a host: that of the longest run of its last labels
+    that ``seeds`` lists, so ``a.docs.google.com`` goes by ``docs.google.com`` before ``google.com``.
+
+    Case, white space around and a last dot do not matter.  Hosts are made distinct first and looked
+    up once each, by one equality join; a host under none of the entries, an empty or null one has no prior.
+    """
+    clean = lambda c: F.rtrim(F.lower(F.trim(c)), F.lit("."))
+    hosts = sessions.select(F.col("app_key").alias("_host")).where("_host is not null").distinct()
+    labels = F.split(clean(F.col("_host")), r"\.")
+    n = F.size(labels)
+    ways = F.transform(
+        F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(labels, n - i + 1, i), ".").alias("name"))
+    )
+    walked = hosts.select("_host", F.explode(ways).alias("_way")).select("_host", "_way.depth", "_way.name")
+    listed = seeds.groupBy(clean(F.col("app_key")).alias("name")).agg(
+        F.max(F.struct("seed_conf", "seed_category")).alias("_seed")
+    )
+    met = walked.join(listed.where("name <> ''"), "name")
+    best = met.groupBy("_host").agg(F.max_by("_seed", "depth").alias("_seed")).select(
+        "_host", F.col("_seed.seed_category").alias("seed_category"), F.col("_seed.seed_conf").alias("seed_conf")
+    )
+    df = sessions.join(best, F.col("app_key") == F.col("_host"), "left").drop("_host")
+    return df.withColumns(
+        {
+            "rule_category": F.lit(None).cast("string"),
+            "learned_category": F.lit(None).cast("string"),
+            "learned_conf": F.lit(None).cast("double"),
+            "samples": F.lit(None).cast("int"),
+        }
+    )
+
+
 def classify(df: DataFrame, th: Thresholds, followed: Column | None = None) -> DataFrame:
     """First confident layer wins: rule, learned prior, seed prior (media followed by work
     counts as learning), else unknown.  ``followed`` flags sessions followed by work."""

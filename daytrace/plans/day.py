@@ -37,8 +37,9 @@ class DayPlan:
         enrolled: DataFrame | None = None,
         days: tuple[dt.date, dt.date] | None = None,
         corrections: Callable[[DayPlan], DataFrame] | None = None,
+        host_keys: bool = False,
     ) -> None:
-        """``days`` keeps the local days from the first to the last, both included; the filter reaches the
+        """``host_keys``: browser events carry whole hosts, which are looked up by their last labels.  ``days`` keeps the local days from the first to the last, both included; the filter reaches the
         partitions of a stored event table (``sources.store``).  ``enrolled`` (phones: user_id, device_id, tz, day_start_hour, first_date, last_date) adds the
         device-days without events, which are unobserved from end to end.  ``corrections`` gives the log
         of activity corrections that ``current`` is read under."""
@@ -58,6 +59,7 @@ class DayPlan:
         self.learned = learned
         self.enrolled = enrolled
         self.corrections = corrections
+        self.host_keys = host_keys
         self.th = thresholds
 
     @cached_property
@@ -124,7 +126,10 @@ class DayPlan:
 
     @cached_property
     def classified_domains(self) -> DataFrame:
-        df = cl.with_priors(self.arbitrated, self.domain_seeds, None, None)
+        if self.host_keys:
+            df = cl.with_domain_priors(self.arbitrated, self.domain_seeds)
+        else:
+            df = cl.with_priors(self.arbitrated, self.domain_seeds, None, None)
         return cl.classify(df, self.th)
 
     @cached_property

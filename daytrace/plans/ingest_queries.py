@@ -203,6 +203,53 @@ def _(c):
     )
 
 
+def _listed(entries) -> str:
+    """A seed catalogue as SQL values."""
+    rows = ", ".join(f"('{k}', '{c}', {p}::DOUBLE)" for k, (c, p) in entries.items())
+    return f"(VALUES {rows}) s(name, seed_category, seed_conf)"
+
+
+APPS = [*catalog.APP_PRIORS, "com.unlisted.app"]
+
+
+@query("a14_app_catalogue", f"""
+SELECT d.category, d.label, g.label AS group_label, count(DISTINCT u.app_key) AS apps, count(*) AS events, min(s.seed_conf) AS least_conf
+FROM (SELECT [{", ".join(f"'{a}'" for a in APPS)}][event_id % {len(APPS)} + 1] AS app_key FROM events) u
+LEFT JOIN {_listed(catalog.APP_PRIORS)} ON s.name = u.app_key
+JOIN dim_cat d ON d.category = coalesce(s.seed_category, 'unknown') JOIN dim_cat g ON g.category = d.parent GROUP BY ALL""")
+def _(c):
+    """The whole app catalogue and the taxonomy over events, each filed under a package by its id."""
+    app = F.element_at(F.lit(APPS), (F.col("event_id") % len(APPS) + 1).cast("int"))
+    counts = c.table("events").groupBy(app.alias("app_key")).agg(F.count(F.lit(1)).alias("n"))
+    df = counts.join(c.plan.seeds, "app_key", "left").withColumn("category", F.coalesce("seed_category", F.lit("unknown")))
+    tax = tm.taxonomy(c.spark)
+    groups = tax.select(F.col("category").alias("parent"), F.col("label").alias("group_label"))
+    return df.join(tax, "category").join(groups, "parent").groupBy("category", "label", "group_label").agg(
+        F.count(F.lit(1)).alias("apps"), F.sum("n").alias("events"), F.min("seed_conf").alias("least_conf")
+    )
+
+
+SITES = [*catalog.DOMAIN_PRIORS, "notgithub.com", "unlisted.test", "google.com.test"]
+FRONTS = ["", "www.", "a.b.", "docs.", "WWW."]
+
+
+@query("d7_domain_catalogue", f"""
+WITH h AS (SELECT page_id, [{", ".join(f"'{f}'" for f in FRONTS)}][page_id % {len(FRONTS)} + 1] ||
+  [{", ".join(f"'{s}'" for s in SITES)}][page_id % {len(SITES)} + 1] AS host FROM pages),
+m AS (SELECT page_id, host, s.*, row_number() OVER (PARTITION BY page_id ORDER BY length(name) DESC NULLS LAST) AS r
+  FROM h LEFT JOIN {_listed(catalog.DOMAIN_PRIORS)} ON '.' || lower(host) LIKE '%.' || name)
+SELECT page_id, host, CASE WHEN seed_conf >= 0.55 THEN seed_category ELSE 'unknown' END AS category,
+  coalesce(seed_conf, 0.0) AS confidence, CASE WHEN seed_conf >= 0.55 THEN 'seed' ELSE 'unknown' END AS source
+FROM m WHERE r = 1""")
+def _(c):
+    """The whole domain catalogue over hosts made from the pages' ids, sub-domains and look-alikes included."""
+    front = F.element_at(F.lit(FRONTS), (F.col("page_id") % len(FRONTS) + 1).cast("int"))
+    site = F.element_at(F.lit(SITES), (F.col("page_id") % len(SITES) + 1).cast("int"))
+    seen = c.table("pages").select("page_id", F.concat(front, site).alias("app_key"))
+    found = cl.classify(cl.with_domain_priors(seen, c.plan.domain_seeds), c.plan.th)
+    return found.select("page_id", F.col("app_key").alias("host"), "category", "confidence", "source")
+
+
 @query("a15_retention_filter", f"""SELECT user_id, device_id, count(*) AS events,
  count(CASE WHEN us >= {AS_OF} - 20 * 86400000000 THEN 1 END) AS kept_server,
  count(CASE WHEN NOT (k < 80 AND us + 60000000 < {AS_OF} - 7 * 86400000000) THEN 1 END) AS kept_local

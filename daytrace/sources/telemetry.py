@@ -247,8 +247,9 @@ def sample_plan(spark: SparkSession, sf_dir: str):
     )
     return DayPlan(
         ev,
-        priors(spark, catalog.SAMPLE_PRIORS),
+        priors(spark, catalog.APP_PRIORS | catalog.SAMPLE_PRIORS),
         SAMPLE,
+        domain_seeds=priors(spark, catalog.DOMAIN_PRIORS | catalog.SAMPLE_PRIORS),
         rules=user_rules(ev),
         learned=learned_priors(ev),
         enrolled=enrolled_phones(ev),

@@ -10,7 +10,7 @@ from scripts.check import TABLES, compare
 
 KEYS = [
     "a2_envelope_validate", "a3_batch_atomic_reject", "a10_ingest_receipt", "c11_overlap_sweep",
-    "c12_cluster_cross_device", "d1_classify_layers", "d3_learned_prior_fold", "e3_focus_sessions", "p5_pattern_promotion",
+    "c12_cluster_cross_device", "d1_classify_layers", "d7_domain_catalogue", "a14_app_catalogue", "d3_learned_prior_fold", "e3_focus_sessions", "p5_pattern_promotion",
     "m1_daily_metrics", "m9_trend_change", "g2_goal_window", "h5_daily_summary_doc", "t4_payload_gate",
     "s1_stream_attribution", "s2_wake_reconcile", "s3_stream_ingest", "s4_late_recompute", "s5_stream_sessions",
 ]

@@ -297,3 +297,19 @@ def test_corrections_survive_a_recompute(spark):
         assert (now[first + "+"].category, now[first + "+"].confidence, now[first + "+"].source) == ("admin", 1.0, "user")
         assert now[second + "+"].category == "admin" and first not in now and other in now
         assert run.activities.filter(F.col("activity_id") == first).count() == 1
+
+
+def test_domain_priors_take_the_longest_listed_name(spark):
+    seeds = spark.createDataFrame(
+        [("google.com", "browsing", 0.55), ("docs.Google.com", "writing", 0.6), ("localhost", "development", 0.55), ("", "social", 0.9)],
+        "app_key string, seed_category string, seed_conf double",
+    )
+    want = {
+        "docs.google.com": "writing", "x.docs.google.com.": "writing", "Mail.Google.com": "browsing", "google.com": "browsing",
+        "notgoogle.com": None, "google.com.test": None, "localhost": "development", "com": None, "": None, None: None,
+    }
+    rows = [(h, i) for i, h in enumerate([*want, *want])]
+    got = cl.with_domain_priors(spark.createDataFrame(rows, "app_key string, name int"), seeds).collect()
+    assert sorted(r["name"] for r in got) == list(range(len(rows)))
+    assert {r.app_key: r.seed_category for r in got} == want
+    assert not cl.with_domain_priors(spark.createDataFrame([], "app_key string, name int"), seeds).take(1)
