@@ -92,10 +92,11 @@ def _(c):
     """Wire batches from a file stream into the event table, in several micro-batches; a second run
     over the same files with a new checkpoint changes nothing."""
     base = fresh(c)
-    wire.wire_batches(c.events).repartition(4).write.parquet(f"{base}/lines")
+    files = max(4, c.spark.sparkContext.defaultParallelism)  # every core writes and reads some
+    wire.wire_batches(c.events).repartition(files).write.parquet(f"{base}/lines")
     schema = c.spark.read.parquet(f"{base}/lines").schema
     for run in ("first", "again"):
-        lines = c.spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/lines")
+        lines = c.spark.readStream.schema(schema).option("maxFilesPerTrigger", (files + 1) // 2).parquet(f"{base}/lines")
         jobs.ingest_stream(lines, base, wire.device_owners(c.events), run).awaitTermination()
     return jobs.ingested(c.spark, base)[0].all().select("event_id", "batch_id")
 

@@ -82,6 +82,8 @@ def ingest_stream(
 
     def take(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
+        # else each frame kept below has as many partitions as a shuffle is dealt to, however small it is
+        spark.conf.set("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "true")
         store = EventStore(spark, f"{base}/events", EVENT_TABLE)
         sent = batch.withColumns(
             {"delivery": F.sha2(F.to_json(F.struct("*")), 256), "lb": F.pmod(F.xxhash64("batch_id"), F.lit(LEDGER_BUCKETS)).cast("int")}
@@ -130,7 +132,7 @@ def ingest_stream(
         receipts.select(
             F.col("_batch").alias("batch_id"), "accepted", "events", "seq_to", "delivery", "batch_device", "user_id", "arrival",
             "seq_from", "new_events", (F.col("events") - F.col("new_events")).alias("duplicates"), "lb",
-        ).write.mode("append").partitionBy("lb").parquet(f"{base}/batches")
+        ).hint("rebalance", "lb").write.mode("append").partitionBy("lb").parquet(f"{base}/batches")
         ledger = spark.read.schema(BATCH_TABLE).parquet(f"{base}/batches").filter(F.col("lb").isin(parts))
         ing.delivery_answers(sent, ledger).withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"

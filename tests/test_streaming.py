@@ -131,3 +131,16 @@ def test_unknown_devices_are_rejected_and_marks_drive_the_recompute(spark):
     assert send(2, [("b", "1:0", 3, 4, 11, [_line(2), _line(3, next_day)])]) == (True, [(7, 1, 2), (7, 2, 1)])
     # a replay brings no new event: the marks are empty, nothing is built
     assert send(2, [("b", "1:0", 3, 4, 12, [_line(2), _line(3, next_day)])])[1] == [(7, 1, 2), (7, 2, 1)]
+
+
+def test_a_micro_batch_writes_one_ledger_file_per_part(spark):
+    base = f"{checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    schema = "batch_id string, batch_device string, seq_from long, seq_to long, arrival long, lines array<string>"
+    sent = [(f"b{i}", "1:0", i, i, i, [_line(i)]) for i in range(1, 301)]
+    spark.createDataFrame(sent, schema).write.parquet(f"{base}/in")
+    devices = spark.createDataFrame([("1:0", 7)], "device_id string, user_id long")
+    jobs.ingest_stream(spark.readStream.schema(schema).parquet(f"{base}/in"), base, devices).awaitTermination()
+    ledger = spark.read.parquet(f"{base}/batches").filter("accepted")
+    files = ledger.select("lb", F.input_file_name().alias("file")).distinct().groupBy("lb").count()
+    assert ledger.count() == 300
+    assert {r["count"] for r in files.collect()} == {1}
