@@ -102,8 +102,8 @@ class _Sessions(StatefulProcessor):
 
 def _tuples(frame: pd.DataFrame, columns: list[str]) -> list[tuple]:
     """Rows as plain values, missing ones as None."""
-    part = frame[columns].astype(object)
-    return list(part.where(part.notna(), None).itertuples(index=False, name=None))
+    values = ([None if v != v else v for v in frame[c].tolist()] for c in columns)  # NaN, NaT are not themselves
+    return list(zip(*values))
 
 
 def stream_attribution(signals: DataFrame, wake_bound_us: int | None = None) -> DataFrame:

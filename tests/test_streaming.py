@@ -144,3 +144,10 @@ def test_a_micro_batch_writes_one_ledger_file_per_part(spark):
     files = ledger.select("lb", F.input_file_name().alias("file")).distinct().groupBy("lb").count()
     assert ledger.count() == 300
     assert {r["count"] for r in files.collect()} == {1}
+
+
+def test_rows_of_a_frame_have_no_missing_markers():
+    import pandas as pd
+
+    frame = pd.DataFrame({"us": [1, 2], "key": ["a", None], "seq": [3.0, float("nan")], "focused": [True, None]})
+    assert state._tuples(frame, ["us", "key", "seq", "focused"]) == [(1, "a", 3.0, True), (2, None, None, None)]
