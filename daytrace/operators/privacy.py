@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,11 +66,28 @@ def flat_disallowed(payload: Column, allowed: list[str]) -> Column:
     return F.array_sort(F.array_except(F.json_object_keys(payload), F.lit(allowed)))
 
 
+#: Bytes of payload that are walked before their rows are handed on.
+BLOCK_BYTES = 4 << 20
+
+
+def blocks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most ``most`` bytes together, or of one row."""
+    start, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > start and held + size > most:
+            yield start, i
+            start, held = i, 0
+        held += size
+    if sizes:
+        yield start, len(sizes)
+
+
 def walk_payloads(df: DataFrame, payload: str, allowed: list[str]) -> DataFrame:
     """Add what a gate needs to know of a nested JSON payload: ``disallowed`` key paths,
     string ``leaves`` with their paths, ``key_count`` and ``canonical`` JSON text.
 
-    Payloads have no common schema, so each is walked on its own, batch by batch.  A payload that
+    Payloads have no common schema, so each is walked on its own.  What is made of them stays in Arrow
+    and is handed on every ``BLOCK_BYTES``, however many rows a batch has.  A payload that
     is null, not JSON or nested too deeply has a null ``key_count`` and its text as ``canonical``.
     """
     allow = frozenset(allowed)
@@ -89,27 +107,35 @@ def walk_payloads(df: DataFrame, payload: str, allowed: list[str]) -> DataFrame:
             leaves.append({"path": path, "value": node})
         return 0
 
-    def run(batches: Iterator) -> Iterator:
+    leaf = pa.struct([("path", pa.string()), ("value", pa.string())])
+    added = {"disallowed": pa.list_(pa.string()), "leaves": pa.list_(leaf), "key_count": pa.int64(), "canonical": pa.string()}
+
+    def walked(block: pa.RecordBatch) -> pa.RecordBatch:
+        out = {name: [] for name in added}
+        for text in block.column(payload).to_pylist():
+            bad, leaves = [], []
+            try:
+                node = json.loads(text)
+                count = walk(node, "", bad, leaves)
+                canonical = json.dumps(node, sort_keys=True, separators=(",", ":"))
+            except (TypeError, ValueError, RecursionError):
+                count, canonical, bad, leaves = None, text, [], []
+            out["key_count"].append(count)
+            out["disallowed"].append(sorted(bad))
+            out["leaves"].append(leaves)
+            out["canonical"].append(canonical)
+        arrays = [pa.array(out[name], kind) for name, kind in added.items()]
+        return pa.RecordBatch.from_arrays([*block.columns, *arrays], names=[*block.schema.names, *added])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {"disallowed": [], "leaves": [], "key_count": [], "canonical": []}
-            for text in batch[payload]:
-                bad, leaves = [], []
-                try:
-                    node = json.loads(text)
-                    count = walk(node, "", bad, leaves)
-                    canonical = json.dumps(node, sort_keys=True, separators=(",", ":"))
-                except (TypeError, ValueError, RecursionError):
-                    count, canonical, bad, leaves = None, text, [], []
-                out["key_count"].append(count)
-                out["disallowed"].append(sorted(bad))
-                out["leaves"].append(leaves)
-                out["canonical"].append(canonical)
-            out["key_count"] = pd.array(out["key_count"], dtype="Int64")
-            yield batch.assign(**out)
+            sizes = pc.fill_null(pc.binary_length(batch.column(payload)), 0).to_pylist()
+            for start, stop in blocks(sizes, BLOCK_BYTES):
+                yield walked(batch.slice(start, stop - start))
 
     extra = "disallowed array<string>, leaves array<struct<path:string,value:string>>, key_count long, canonical string"
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(run, f"{fields}, {extra}")
+    return df.mapInArrow(run, f"{fields}, {extra}")
 
 
 def gate(walked: DataFrame) -> DataFrame:

@@ -104,3 +104,17 @@ def test_digits_of_any_script_are_numbers(spark):
     df = spark.createDataFrame([("\u0663\u0660 minutes",), ("\uff13\uff11 minutes",), ("30 minutes",), ("none",), ("\U0001d7db\U0001d7d8",)], "t string")
     got = [r[0] for r in df.select(cm.numbers_grounded(F.col("t"), F.array(F.lit(30.0)))).collect()]
     assert got == [True, False, True, True, True]
+
+
+def test_payloads_are_handed_on_in_blocks_of_bytes(spark, monkeypatch):
+    assert list(pv.blocks([3, 3, 9, 1, 1], 6)) == [(0, 2), (2, 3), (3, 5)]
+    assert list(pv.blocks([], 6)) == []
+    monkeypatch.setattr(pv, "BLOCK_BYTES", 30)
+    texts = ['{"name": "a", "x": [{"name": "b"}]}', None, "{broken", '{"n": 1}', ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, payload string").coalesce(1)
+    got = [tuple(r) for r in pv.walk_payloads(df, "payload", ["name"]).drop("payload").orderBy("i").collect()]
+    assert [(g[0], g[1], g[3], g[4]) for g in got] == [
+        (0, ["x"], 3, '{"name":"a","x":[{"name":"b"}]}'), (1, [], None, None), (2, [], None, "{broken"),
+        (3, ["n"], 1, '{"n":1}'), (4, [], None, ""),
+    ]
+    assert [tuple(x) for x in got[0][2]] == [("name", "a"), ("x[0].name", "b")]
