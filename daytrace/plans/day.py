@@ -5,9 +5,12 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from functools import cached_property
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
+from functools import cached_property, partial
 
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daytrace.config import DEVICE_DAY, USER_DAY, Thresholds
@@ -22,6 +25,16 @@ from daytrace.sources.store import SLACK
 from daytrace.sources.tables import stage
 
 
+#: Events of a user-day up to which whole days stay in one time chunk, and the width of such chunks.
+WHOLE_ROWS, WHOLE_S = 20_000, 7 * 86400
+
+
+def together(spark: SparkSession, *steps: Callable[[], object]) -> list:
+    """Results of steps that do not wait for each other; their jobs run at the same time."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(s)) for s in steps]]
+
+
 class DayPlan:
     """Lazily built steps of the pipeline.  Steps that several later ones read are staged
     (materialised once on shared storage); everything else stays a plain DataFrame."""
@@ -38,8 +51,9 @@ class DayPlan:
         days: tuple[dt.date, dt.date] | None = None,
         corrections: Callable[[DayPlan], DataFrame] | None = None,
         host_keys: bool = False,
+        whole_rows: int | None = None,
     ) -> None:
-        """``host_keys``: browser events carry whole hosts, which are looked up by their last labels.  ``days`` keeps the local days from the first to the last, both included; the filter reaches the
+        """``whole_rows``: see ``th``.  ``host_keys``: browser events carry whole hosts, which are looked up by their last labels.  ``days`` keeps the local days from the first to the last, both included; the filter reaches the
         partitions of a stored event table (``sources.store``).  ``enrolled`` (phones: user_id, device_id, tz, day_start_hour, first_date, last_date) adds the
         device-days without events, which are unobserved from end to end.  ``corrections`` gives the log
         of activity corrections that ``current`` is read under."""
@@ -60,7 +74,26 @@ class DayPlan:
         self.enrolled = enrolled
         self.corrections = corrections
         self.host_keys = host_keys
-        self.th = thresholds
+        self.thresholds, self.whole_rows = thresholds, whole_rows
+
+    @cached_property
+    def th(self) -> Thresholds:
+        """The thresholds.  Time chunks (``operators.scan``) are for large user-days; where none has more than
+        ``whole_rows`` events, chunks are wide, so that few carry rows are made.  No row depends on the width."""
+        if self.whole_rows is None:
+            return self.thresholds
+        counts = self.events.groupBy(*USER_DAY).agg(F.count(F.lit(1)).alias("n"))
+        largest = counts.agg(F.max("n")).first()[0] or 0  # one number
+        if largest > self.whole_rows:
+            return self.thresholds
+        return replace(self.thresholds, chunk_s=max(self.thresholds.chunk_s, WHOLE_S))
+
+    def at_once(self, *names: str) -> None:
+        """Make staged steps at the same time; none of them may read another."""
+        self.th  # noqa: B018
+        missing = [n for n in names if n not in self.__dict__]
+        if missing:
+            together(self.events.sparkSession, *[partial(getattr, self, n) for n in missing])
 
     @cached_property
     def phone_events(self) -> DataFrame:
@@ -135,6 +168,7 @@ class DayPlan:
     @cached_property
     def classified(self) -> DataFrame:
         """All classified sessions of all devices."""
+        self.at_once("app_sessions", "arbitrated")
         cols = [
             *DEVICE_DAY, "app_key", "start_us", "end_us", "category", "confidence", "source",
             "evidence",
@@ -192,11 +226,11 @@ class DayPlan:
 
     @cached_property
     def focus(self) -> DataFrame:
-        return fo.focus_sessions(self.classified, self.th)
+        return stage(fo.focus_sessions(self.classified, self.th))
 
     @cached_property
     def bursts(self) -> DataFrame:
-        return pa.distraction_bursts(self.classified, self.th)
+        return stage(pa.distraction_bursts(self.classified, self.th))
 
     @cached_property
     def occurrences(self) -> DataFrame:
@@ -213,4 +247,6 @@ class DayPlan:
     # metrics ------------------------------------------------------------------------
     @cached_property
     def metrics(self) -> DataFrame:
+        self.at_once("classified", "coverage")
+        self.at_once("focus", "bursts")
         return me.daily_metrics(self)

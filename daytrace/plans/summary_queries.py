@@ -13,6 +13,7 @@ from daytrace.operators import metrics as me
 from daytrace.operators import summary as su
 from daytrace.operators import trends as tr
 from daytrace.plans.ingest_queries import AS_OF, activity_apps, with_hours
+from daytrace.plans.day import together
 from daytrace.plans.oracle import part
 from daytrace.plans.registry import query
 from daytrace.sources import telemetry as tm
@@ -160,8 +161,9 @@ _WIN = "round(coverage_ratio, 6) AS coverage_ratio, round(aligned_min, 6) AS ali
 
 
 def goal_windows(c):
-    _, goals, _, daily = goal_parts(c)
-    return go.windowed(daily, c.plan.metrics, goals)
+    c.plan.at_once("classified", "coverage")
+    wide, (_, goals, _, daily) = together(c.spark, lambda: c.plan.metrics, lambda: goal_parts(c))
+    return go.windowed(daily, wide, goals)
 
 
 query("g2_goal_window", f"SELECT user_id, goal_id, {DAY}, window_days, {_WIN} FROM goal_win")(
@@ -443,8 +445,8 @@ LEFT JOIN (SELECT user_id, local_date, list(DISTINCT platform ORDER BY platform)
 def documents(c):
     """Summary documents of all user-days."""
     plan = c.plan
-    metrics = stage(plan.metrics)
-    acts, goals, maps, daily = goal_parts(c)
+    wide = plan.metrics
+    metrics, (_, goals, _, daily) = together(c.spark, lambda: stage(wide), lambda: goal_parts(c))
     tax = tm.taxonomy(c.spark)
     windows = go.windowed(daily, metrics, goals)
     active = go.active_goals(metrics.select(*USER_DAY), goals)

@@ -240,7 +240,7 @@ def working_hours(ev: DataFrame) -> DataFrame:
 
 def sample_plan(spark: SparkSession, sf_dir: str):
     """The day pipeline over the sample telemetry."""
-    from daytrace.plans.day import DayPlan
+    from daytrace.plans.day import WHOLE_ROWS, DayPlan
 
     ev = telemetry(spark, sf_dir).withColumns(
         {"tz": F.lit(TZ), "day_start_hour": F.lit(DAY_START)}
@@ -254,4 +254,5 @@ def sample_plan(spark: SparkSession, sf_dir: str):
         learned=learned_priors(ev),
         enrolled=enrolled_phones(ev),
         corrections=lambda plan: activity_corrections(plan.activities),
+        whole_rows=WHOLE_ROWS,
     )

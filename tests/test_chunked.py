@@ -40,3 +40,11 @@ def test_same_dwells(plans):
 def test_same_attribution(plans):
     a, b = [rows(at.attribute(at.signals(p.browser_events), p.th, tm.SAMPLE.wake_bound_s * 10**6)) for p in plans]
     assert a and a == b
+
+
+def test_wide_chunks_where_no_user_day_is_large(spark, plans):
+    whole = plans[0]
+    day = lambda n: DayPlan(whole.events, whole.seeds, tm.SAMPLE, rules=whole.rules, learned=whole.learned, whole_rows=n)
+    assert day(0).th == tm.SAMPLE and day(None).th == tm.SAMPLE
+    assert day(10**6).th == replace(tm.SAMPLE, chunk_s=7 * 86400)
+    assert rows(day(10**6).coverage) == rows(plans[1].coverage)
